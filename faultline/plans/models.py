@@ -222,15 +222,15 @@ def coefficients(fitted: Fitted) -> DataFrame:
     lines = [
         F.struct(
             F.lit(f).alias("FEATURE"),
-            F.lit(float(c)).alias("COEFFICIENT"),
-            (F.lit(float(c)) * F.col(f)).alias("PER_STDDEV"),
+            F.round(F.lit(float(c)), 6).alias("COEFFICIENT"),
+            F.round(F.lit(float(c)) * F.col(f), 6).alias("PER_STDDEV"),
         )
         for f, c in zip(fitted.features, fitted.coefficients)
     ]
     lines.append(
         F.struct(
             F.lit("Intercept").alias("FEATURE"),
-            F.lit(fitted.intercept).alias("COEFFICIENT"),
+            F.round(F.lit(fitted.intercept), 6).alias("COEFFICIENT"),
             F.lit(None).cast("double").alias("PER_STDDEV"),
         )
     )

@@ -7,6 +7,7 @@ tables; the functions keep the original ones as defaults.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,12 +38,8 @@ def _fitted_metrics(fitted: models.Fitted, linear: bool) -> DataFrame:
     return metrics(fitted.scored, fitted.name)
 
 
-def _all_coefficients(t: Tables) -> DataFrame:
-    fits = [models.ols_injuries(t), models.ols_deaths(t), models.logit_recalls(t), models.logit_deaths(t)]
-    first, *rest = [models.coefficients(f) for f in fits]
-    for frame in rest:
-        first = first.unionByName(frame)
-    return first
+def _coefficients(*fits: models.Fitted) -> DataFrame:
+    return reduce(DataFrame.unionByName, [models.coefficients(f) for f in fits])
 
 
 def _split_counts(t: Tables) -> DataFrame:
@@ -59,7 +56,7 @@ def _high_flags(t: Tables) -> DataFrame:
 
 
 def _actual_vs_predicted(t: Tables) -> DataFrame:
-    return models.ols_injuries(t).scored
+    return models.ols_injuries(t).scored.withColumn("PREDICTION", F.round("PREDICTION", 6))
 
 
 SUBJECT_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
@@ -120,7 +117,10 @@ SUBJECT_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "ml_logit_deaths": lambda t: _fitted_metrics(models.logit_deaths(t), False),
     "ml_logit_recalls_report": lambda t: models.classification_report(models.logit_recalls(t).scored),
     "ml_logit_deaths_report": lambda t: models.classification_report(models.logit_deaths(t).scored),
-    "ml_coefs": _all_coefficients,
+    "ml_coefs_ols": lambda t: _coefficients(models.ols_injuries(t), models.ols_deaths(t)),
+    "ml_coefs": lambda t: _coefficients(
+        models.ols_injuries(t), models.ols_deaths(t), models.logit_recalls(t), models.logit_deaths(t)
+    ),
     "ml_residual_hist": lambda t: models.residual_histogram(models.ols_injuries(t)),
     # single operators
     **{

@@ -11,6 +11,7 @@ def build_session(cores: int = 8, shuffle_partitions: int | None = None, **conf:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("faultline")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
