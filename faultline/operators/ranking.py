@@ -15,6 +15,15 @@ def sort_by(*names: str) -> list[Column]:
     return [F.col(n[1:]).desc_nulls_last() if n.startswith("-") else F.col(n).asc_nulls_last() for n in names]
 
 
+def sorted_rows(df: DataFrame, *order: Column) -> DataFrame:
+    """Global sort of row-level results in which even a large group of equal rows is spread.
+
+    Sort ranges cannot cut between equal keys, so the input partition is the last key. It is
+    the same when a task is repeated, which a random key would not be.
+    """
+    return df.withColumn("_spread", F.spark_partition_id()).orderBy(*order, "_spread").drop("_spread")
+
+
 def _reverse(*names: str) -> list[Column]:
     return [F.col(n[1:]).asc_nulls_first() if n.startswith("-") else F.col(n).desc_nulls_first() for n in names]
 

@@ -37,7 +37,7 @@ def stage(df: DataFrame) -> DataFrame:
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """The staged frame, and whether it is small enough to send to every executor."""
     staged = stage(df)
-    return staged, staged.limit(max_rows + 1).count() <= max_rows
+    return staged, staged.count() <= max_rows
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:

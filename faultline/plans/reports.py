@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions.numbers import digits_year, flag, safe_ratio, try_year
 from faultline.functions.taxonomy import NO_BRAND, NO_MAKE, component_group, is_yes, recall_type_name, risk_tier
@@ -17,7 +17,7 @@ from faultline.functions.text import norm_make, norm_text
 from faultline.operators.grouping import dedupe_measure, merged_label, subtotal_label
 from faultline.operators.linking import complaints_to_recalls, complaints_with_ratings
 from faultline.operators.ordered import HOT_ROWS, key_sum, moving_average, ordered_features, previous, running_sum
-from faultline.operators.ranking import sort_by, top_keys, topk, with_percent_rank, with_rank
+from faultline.operators.ranking import sort_by, sorted_rows, top_keys, topk, with_percent_rank, with_rank
 from faultline.operators.staging import BROADCAST_ROWS, exists_then_group, stage
 from faultline.sources.tables import Tables
 
@@ -106,7 +106,7 @@ def q02(t: Tables, hot_rows: int = HOT_ROWS) -> DataFrame:
     df = add_make_trend(rated(t), hot_rows)
     df = with_percent_rank(df, "OVERALL_STARS", "SAFETY_PERCENTILE", hot_rows=hot_rows)
     df = with_rank(df, ["MODEL_YR"], "OVERALL_STARS", "RANK_IN_YEAR", hot_rows=hot_rows)
-    return df.orderBy(*sort_by("MAKE"), *trend_order(df)).select(
+    return sorted_rows(df, *sort_by("MAKE"), *trend_order(df)).select(
         "MAKE",
         "MODEL",
         "MODEL_YR",
@@ -223,40 +223,60 @@ def _nulls_last_struct(names: Sequence[str]) -> Column:
 
 
 def campaign_make_rows(t: Tables) -> DataFrame:
-    """One row per campaign and make: its first row by model, and whether that row leads the campaign.
+    """One row per campaign and make: its first row by model, and whether that row could lead the campaign.
 
-    The leading row is the campaign's first by make; if the make keeps another of its rows,
-    nobody leads. Both first rows are minima of sort structs, so they combine map-side.
+    A row leads if it comes first in its campaign by make and source order. The kept row is
+    the first by model, so it may be another one. Both are minima of sort structs, which
+    combine map-side; a hot campaign is never sorted.
     """
     rest = [*(["SRC_LINE"] if "SRC_LINE" in t.recalls.columns else [])]
     rest += ["POTAFF", "COMPNAME", "DO_NOT_DRIVE", "PARK_OUTSIDE"]
     pairs = t.recalls.groupBy("CAMPNO", "MAKETXT").agg(
         F.min(_nulls_last_struct(["MODELTXT", *rest])).alias("kept"),
         F.min(_nulls_last_struct([*rest, "MODELTXT"])).alias("lead"),
+        F.max("POTAFF").alias("LARGEST"),
     )
-    # After the aggregate a campaign holds one row per spelling of a make.
-    first_make = F.min(_nulls_last_struct(["MAKETXT"])).over(Window.partitionBy("CAMPNO"))
     same_row = F.lit(True)
     for name in ["MODELTXT", *rest]:
         same_row = same_row & F.col(f"kept.{name}").eqNullSafe(F.col(f"lead.{name}"))
-    leads = first_make.getField("MAKETXT").eqNullSafe(F.col("MAKETXT")) & same_row
     return pairs.select(
         "CAMPNO",
         "MAKETXT",
         *[F.col(f"kept.{n}").alias(n) for n in ("POTAFF", "COMPNAME", "DO_NOT_DRIVE", "PARK_OUTSIDE")],
-        leads.alias("LEADS"),
+        same_row.alias("LEADS"),
+        "LARGEST",
     )
 
 
-def _recall_leaders(rows: DataFrame, k: int) -> DataFrame:
-    grouped = rows.groupBy(F.col("MAKETXT").alias("MAKE")).agg(
-        F.countDistinct("CAMPNO").alias("TOTAL_RECALLS"),
-        F.sum("CREDITED").alias("TOTAL_VEHICLES_AFFECTED"),
+def _recall_leaders(pairs: DataFrame, credit: Column, k: int) -> DataFrame:
+    """Recall statistics per make; each campaign gives its credit to its first make alone.
+
+    ``credit`` aggregates the rows of a campaign; rows of its further makes add 0.
+    """
+    credits = (
+        pairs.groupBy("CAMPNO")
+        .agg(F.min(_nulls_last_struct(["MAKETXT"])).alias("first"), credit.alias("credit"))
+        .groupBy(F.col("first.MAKETXT").alias("CREDITED_MAKE"))
+        .agg(F.sum("credit").alias("credits"), _rows().alias("credited_rows"))
+    )
+    per_make = pairs.groupBy(F.col("MAKETXT").alias("MAKE")).agg(
+        F.count("CAMPNO").alias("TOTAL_RECALLS"),
         F.countDistinct("COMPNAME").alias("COMPONENTS_RECALLED"),
         _yes("DO_NOT_DRIVE").alias("DO_NOT_DRIVE_RECALLS"),
         _yes("PARK_OUTSIDE").alias("PARK_OUTSIDE_RECALLS"),
+        _rows().alias("all_rows"),
+    )
+    joined = per_make.join(credits, F.col("MAKE").eqNullSafe(F.col("CREDITED_MAKE")), "left")
+    adds_zero = F.col("all_rows") > F.coalesce("credited_rows", F.lit(0))
+    result = joined.select(
+        "MAKE",
+        "TOTAL_RECALLS",
+        F.when(adds_zero, F.coalesce("credits", F.lit(0))).otherwise(F.col("credits")).alias("TOTAL_VEHICLES_AFFECTED"),
+        "COMPONENTS_RECALLED",
+        "DO_NOT_DRIVE_RECALLS",
+        "PARK_OUTSIDE_RECALLS",
     )
-    return topk(grouped, k, "-TOTAL_VEHICLES_AFFECTED", "MAKE")
+    return topk(result, k, "-TOTAL_VEHICLES_AFFECTED", "MAKE")
 
 
 def q08(t: Tables, k: int = 20) -> DataFrame:
@@ -264,33 +284,28 @@ def q08(t: Tables, k: int = 20) -> DataFrame:
 
     Campaigns whose first row is not the one kept for its make count for nobody.
     """
-    rows = campaign_make_rows(t).withColumn("CREDITED", F.when(F.col("LEADS"), F.col("POTAFF")).otherwise(0))
-    return _recall_leaders(rows, k)
+    of_row = F.when(F.col("LEADS"), F.col("POTAFF")).otherwise(0).alias("credit")
+    of_first_make = F.min(F.struct(F.col("MAKETXT").isNull(), "MAKETXT", of_row)).getField("credit")
+    return _recall_leaders(stage(campaign_make_rows(t)), of_first_make, k)
 
 
 def q08_dedup(t: Tables, k: int = 20) -> DataFrame:
     """q08 without the loss: each campaign's vehicles are credited once, to its first make."""
-    pairs = t.recalls.groupBy("CAMPNO", "MAKETXT").agg(
-        F.max("POTAFF").alias("POTAFF"),
-        F.min(_nulls_last_struct(["MODELTXT", "COMPNAME", "DO_NOT_DRIVE", "PARK_OUTSIDE"])).alias("kept"),
-    )
-    of_campaign = Window.partitionBy("CAMPNO")
-    first_make = F.min(_nulls_last_struct(["MAKETXT"])).over(of_campaign).getField("MAKETXT")
-    vehicles = F.max("POTAFF").over(of_campaign)
-    rows = pairs.select(
-        "CAMPNO",
-        "MAKETXT",
-        *[F.col(f"kept.{n}").alias(n) for n in ("COMPNAME", "DO_NOT_DRIVE", "PARK_OUTSIDE")],
-        F.when(first_make.eqNullSafe(F.col("MAKETXT")), vehicles).otherwise(0).alias("CREDITED"),
-    )
-    return _recall_leaders(rows, k)
+    return _recall_leaders(stage(campaign_make_rows(t)), F.max("LARGEST"), k)
 
 
 def q09(t: Tables, makes: Sequence[str] = CUBE_MAKES) -> DataFrame:
-    """Recalls cubed over component x make for a few makes; POTAFF is summed as stored, per row."""
-    return (
+    """Recalls cubed over component x make for a few makes; POTAFF is summed as stored, per row.
+
+    Rows are summed per campaign first, so the cube expands fewer rows.
+    """
+    campaigns = (
         t.recalls.filter(F.col("MAKETXT").isin(list(makes)))
-        .cube("COMPNAME", "MAKETXT")
+        .groupBy("COMPNAME", "MAKETXT", "CAMPNO")
+        .agg(F.sum("POTAFF").alias("POTAFF"))
+    )
+    return (
+        campaigns.cube("COMPNAME", "MAKETXT")
         .agg(
             merged_label("COMPNAME", ALL_COMPONENTS).alias("COMPONENT"),
             merged_label("MAKETXT", ALL_MAKES).alias("MAKE"),
@@ -306,22 +321,21 @@ def q10(t: Tables) -> DataFrame:
     """Every recall row with every investigation of the same campaign.
 
     All pairs are the result here; a campaign that is hot on both sides is split by the
-    adaptive skew join, and the sort ends in further columns so equal values spread out.
+    adaptive skew join, and the sort spreads equal rows over tasks.
     """
     r, i = t.recalls.alias("r"), t.investigations.alias("i")
-    return (
-        r.join(i, F.col("r.CAMPNO") == F.col("i.CAMPNO"))
-        .select(
-            F.col("r.MAKETXT").alias("MAKE"),
-            F.col("r.CAMPNO").alias("CAMPAIGN_NUMBER"),
-            F.col("r.COMPNAME").alias("RECALL_COMPONENT"),
-            F.col("r.POTAFF").alias("VEHICLES_AFFECTED"),
-            F.col("r.DESC_DEFECT").alias("DESC_DEFECT"),
-            F.col("i.ACTION_NUMBER").alias("ACTION_NUMBER"),
-            F.col("i.SUBJECT").alias("INVESTIGATION_SUBJECT"),
-            F.col("i.SUMMARY").alias("INVESTIGATION_SUMMARY"),
-        )
-        .orderBy(*sort_by("-VEHICLES_AFFECTED", "CAMPAIGN_NUMBER", "MAKE", "ACTION_NUMBER", "RECALL_COMPONENT"))
+    pairs = r.join(i, F.col("r.CAMPNO") == F.col("i.CAMPNO")).select(
+        F.col("r.MAKETXT").alias("MAKE"),
+        F.col("r.CAMPNO").alias("CAMPAIGN_NUMBER"),
+        F.col("r.COMPNAME").alias("RECALL_COMPONENT"),
+        F.col("r.POTAFF").alias("VEHICLES_AFFECTED"),
+        "r.DESC_DEFECT",
+        "i.ACTION_NUMBER",
+        F.col("i.SUBJECT").alias("INVESTIGATION_SUBJECT"),
+        F.col("i.SUMMARY").alias("INVESTIGATION_SUMMARY"),
+    )
+    return sorted_rows(
+        pairs, *sort_by("-VEHICLES_AFFECTED", "CAMPAIGN_NUMBER", "MAKE", "ACTION_NUMBER", "RECALL_COMPONENT")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.grouping import exact_median
 from faultline.operators.ordered import key_sum, moving_average, ordered_features, position, previous, running_sum
-from faultline.operators.ranking import sort_by, value_ranks, with_percent_rank, with_rank
+from faultline.operators.ranking import sort_by, sorted_rows, value_ranks, with_percent_rank, with_rank
 
 FEATURES = [
     position("pos"),
@@ -112,3 +112,15 @@ def test_exact_median(spark, hot_rows):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     whole = exact_median(df, "x", hot_rows=hot_rows).first()[0]
     assert whole == df.agg(F.median("x")).first()[0]
+
+
+def test_equal_rows_are_sorted_by_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(2,)] * 800 + [(1,), (3,)], "x int").repartition(8)
+        out = sorted_rows(df, F.col("x"))
+        assert [r.x for r in out.collect()] == [1] + [2] * 800 + [3]
+        per_task = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert max(r["count"] for r in per_task) < 500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
