@@ -6,6 +6,8 @@ freezes any partition-dependent column, and survives the loss of executors.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -24,7 +26,9 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         context.setCheckpointDir(configured)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="faultline-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 

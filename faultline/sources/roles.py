@@ -53,15 +53,28 @@ def _brand(separator: str) -> Column:
     return F.upper(F.replace(F.col("p_brand"), F.lit("#"), F.lit(separator)))
 
 
+def _parts(spark: SparkSession, root: str) -> DataFrame:
+    """Everything that depends on the part alone, worked out once per part and not per joined row."""
+    return spark.read.parquet(f"{root}/part.parquet").select(
+        "p_partkey",
+        _brand(" ").alias("brand"),
+        _brand("-").alias("hyphenated"),
+        F.upper("p_name").alias("model"),
+        _choose(F.col("p_size") % 14, COMPONENT_PATHS).alias("component"),
+        _choose(F.col("p_partkey") % 9, NARRATIVES).alias("narrative"),
+        F.concat(F.lit("defect "), F.col("p_type")).alias("defect"),
+    )
+
+
 def _make(key: Column) -> Column:
-    plain = _brand(" ")
+    brand = F.col("brand")
     return (
         F.when(key % 53 == 0, F.lit(None).cast("string"))
         .when(key % 47 == 0, "UNKNOWN")
-        .when(key % 29 == 0, _brand("-"))
-        .when(key % 23 == 0, F.concat(F.lit(" "), plain, F.lit(" ")))
-        .when(key % 19 == 0, F.lower(plain))
-        .otherwise(plain)
+        .when(key % 29 == 0, F.col("hyphenated"))
+        .when(key % 23 == 0, F.concat(F.lit(" "), brand, F.lit(" ")))
+        .when(key % 19 == 0, F.lower(brand))
+        .otherwise(brand)
     )
 
 
@@ -105,36 +118,36 @@ def ratings(spark: SparkSession, root: str) -> DataFrame:
 
 def complaints(spark: SparkSession, root: str) -> DataFrame:
     line = spark.read.parquet(f"{root}/lineitem.parquet")
-    part = spark.read.parquet(f"{root}/part.parquet")
+    part = _parts(spark, root)
     key, number = F.col("l_orderkey"), F.col("l_linenumber")
     return line.join(part, line.l_partkey == part.p_partkey).select(
         (key * 10 + number).alias("CMPLID"),
         _make(key).alias("MAKETXT"),
-        F.upper("p_name").alias("MODELTXT"),
+        F.col("model").alias("MODELTXT"),
         _year_text(key, F.col("l_shipdate")).alias("YEARTXT"),
         F.when(number != 7, F.round(F.col("l_discount") * 100).cast("int")).alias("DEATHS"),
         F.col("l_quantity").cast("int").alias("INJURED"),
         _yes_no(F.col("l_returnflag") == "R").alias("CRASH"),
         _yes_no(F.col("l_returnflag") == "A").alias("FIRE"),
         F.when(F.col("l_linestatus") == "O", "V").otherwise("E").alias("PROD_TYPE"),
-        _choose(F.col("p_size") % 14, COMPONENT_PATHS).alias("COMPDESC"),
-        _choose(F.col("l_partkey") % 9, NARRATIVES).alias("CDESCR"),
+        F.col("component").alias("COMPDESC"),
+        F.col("narrative").alias("CDESCR"),
     )
 
 
 def recalls(spark: SparkSession, root: str) -> DataFrame:
     order = spark.read.parquet(f"{root}/orders.parquet")
     line = spark.read.parquet(f"{root}/lineitem.parquet")
-    part = spark.read.parquet(f"{root}/part.parquet")
+    part = _parts(spark, root)
     key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
     rows = line.join(part, line.l_partkey == part.p_partkey).join(order, line.l_orderkey == order.o_orderkey)
     return rows.select(
         key.cast("string").alias("CAMPNO"),
         _make(key).alias("MAKETXT"),
-        F.upper("p_name").alias("MODELTXT"),
+        F.col("model").alias("MODELTXT"),
         _year_text(key, F.col("o_orderdate")).alias("YEARTXT"),
         F.when(key % 17 != 0, F.floor("o_totalprice").cast("bigint")).alias("POTAFF"),
-        _choose(F.col("p_size") % 14, COMPONENT_PATHS).alias("COMPNAME"),
+        F.col("component").alias("COMPNAME"),
         F.when(key % 43 == 0, F.lit(None).cast("string"))
         .when(key % 9 == 0, "X")
         .when(F.col("o_orderstatus") == "P", "E")
@@ -145,7 +158,7 @@ def recalls(spark: SparkSession, root: str) -> DataFrame:
         .otherwise("N")
         .alias("DO_NOT_DRIVE"),
         F.when((priority == "2-HIGH") & (key % 5 == 0), "Y").alias("PARK_OUTSIDE"),
-        F.concat(F.lit("defect "), F.col("p_type")).alias("DESC_DEFECT"),
+        F.col("defect").alias("DESC_DEFECT"),
         F.col("l_linenumber").alias("SRC_LINE"),
     )
 
