@@ -43,7 +43,7 @@ def pivot_share(df: DataFrame, row: str, column: str, values: Sequence[str], dig
 
 def value_share(df: DataFrame, column: str) -> DataFrame:
     """Count of each value and its share of all present values."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("N"))
+    counts = stage(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("N")))
     total = counts.agg(F.sum("N").alias("total")).scalar()
     return counts.withColumn("SHARE", F.round(F.col("N") / total, 6))
 

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.operators.staging import null_safe, stage
 
-# Largest group that one window task is asked to sort.
-HOT_ROWS = 5_000_000
+# Largest group that one window task is asked to sort; also the size of a run.
+HOT_ROWS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def _in_runs(df, keys, order, features, unique, least_runs):
     if not unique:
         df = stage(df.withColumn("_copy", F.monotonically_increasing_id()))
         order.append(F.col("_copy"))
-    runs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * least_runs)
+    runs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), least_runs + 1)
     cut = stage(
         df.repartitionByRange(runs, *[F.col(k) for k in keys], *order).withColumn("_run", F.spark_partition_id())
     )

@@ -14,8 +14,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# A side is broadcast only when it was counted and holds at most this many rows.
+# A side is broadcast only when it was measured and is within both limits.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -41,7 +42,9 @@ def stage(df: DataFrame) -> DataFrame:
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """The staged frame, and whether it is small enough to send to every executor."""
     staged = stage(df)
-    return staged, staged.count() <= max_rows
+    widths = [F.coalesce(F.octet_length(n), F.lit(0)) if kind == "string" else F.lit(8) for n, kind in staged.dtypes]
+    rows, size = staged.agg(F.count(F.lit(1)), F.sum(reduce(lambda a, b: a + b, widths).cast("bigint"))).first()
+    return staged, rows <= max_rows and (size or 0) <= BROADCAST_BYTES
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -53,7 +56,7 @@ def lookup(
 ) -> DataFrame:
     """Attach the columns of a table that is unique on ``on`` (NULL keys match NULL keys).
 
-    The table is counted first: broadcast when small, an ordinary shuffled join (with
+    The table is measured first: broadcast when small, an ordinary shuffled join (with
     adaptive skew handling) beyond that.
     """
     staged, small = bounded(table, max_rows)

@@ -48,6 +48,7 @@ from faultline.operators.ranking import (
     with_percent_rank,
     with_rank,
 )
+from faultline.operators.staging import stage
 from faultline.plans import reports
 from faultline.sources.tables import Tables
 
@@ -331,8 +332,8 @@ def plot_q10c(t: Tables) -> DataFrame:
 
 def plot_q10d(t: Tables) -> DataFrame:
     """Thirty bins of log10 vehicles affected per linked campaign."""
-    sized = linked_campaigns(t).filter(F.col("POTAFF") > 0)
-    return histogram(sized.select(F.log10("POTAFF").alias("LOG10_AFFECTED")), "LOG10_AFFECTED", 30).orderBy("BIN")
+    sized = linked_campaigns(t).filter(F.col("POTAFF") > 0).select(F.log10("POTAFF").alias("LOG10_AFFECTED"))
+    return histogram(stage(sized), "LOG10_AFFECTED", 30).orderBy("BIN")
 
 
 def plot_q10d_median(t: Tables) -> DataFrame:

@@ -466,10 +466,13 @@ def q13_all(t: Tables, k: int = 5) -> DataFrame:
 
 
 def q14(t: Tables) -> DataFrame:
-    """Makes with more vehicle complaints than the average make."""
+    """Makes with more vehicle complaints than the average make.
+
+    The makes are staged, so that the average and the comparison share one pass over complaints.
+    """
     make = norm_make(F.col("MAKETXT"))
     named = F.col("MAKETXT").isNotNull() & (norm_text(F.col("MAKETXT")) != "UNKNOWN")
-    brands = (
+    brands = stage(
         t.complaints.filter((F.col("PROD_TYPE") == "V") & named)
         .groupBy(make.alias("VEHICLE_MAKE"))
         .agg(
