@@ -182,8 +182,8 @@ from marked where in_make = 1 group by all order by TOTAL_VEHICLES_AFFECTED desc
 
 _add("q08_dedup", "v_recalls", f"""
 with kept as (
- select *, row_number() over (partition by CAMPNO, MAKETXT order by MODELTXT nulls last, COMPNAME nulls last,
-   DO_NOT_DRIVE nulls last, PARK_OUTSIDE nulls last) as in_make,
+ select *, row_number() over (partition by CAMPNO, MAKETXT order by MODELTXT nulls last, SRC_LINE, POTAFF nulls last,
+   COMPNAME nulls last, DO_NOT_DRIVE nulls last, PARK_OUTSIDE nulls last) as in_make,
   dense_rank() over (partition by CAMPNO order by MAKETXT nulls last) as make_no,
   max(POTAFF) over (partition by CAMPNO) as vehicles
  from v_recalls)
