@@ -9,7 +9,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -74,19 +74,12 @@ def keep_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.join(F.broadcast(keys), keys.columns, "left_semi")
 
 
-def exists_then_group(
-    rows: DataFrame,
-    keys: DataFrame,
-    group: Callable[[DataFrame], DataFrame],
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """``group(rows with a key in keys)`` for a grouping that keeps the key columns.
+def keep_existing(grouped: DataFrame, keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Groups whose key is among ``keys``, for a grouping that has the key columns among its own.
 
-    With few keys the semi-join is broadcast and prunes rows before the first shuffle. With
-    many keys, rows are grouped first, which leaves at most a few rows per key, and the
-    semi-join runs on those: a hot key never reaches one task row by row.
+    Few keys are broadcast, and Catalyst moves a broadcast semi-join below the grouping, where
+    it prunes rows before the first shuffle. With many keys it stays above: there a hot key
+    is down to a few rows, so it never reaches one task row by row.
     """
     staged, small = bounded(keys.dropna().distinct(), max_rows)
-    if small:
-        return group(rows.join(F.broadcast(staged), staged.columns, "left_semi"))
-    return group(rows).join(staged, staged.columns, "left_semi")
+    return grouped.join(F.broadcast(staged) if small else staged, staged.columns, "left_semi")

@@ -18,7 +18,7 @@ from faultline.operators.grouping import dedupe_measure, merged_label, subtotal_
 from faultline.operators.linking import complaints_to_recalls, complaints_with_ratings
 from faultline.operators.ordered import HOT_ROWS, key_sum, moving_average, ordered_features, previous, running_sum
 from faultline.operators.ranking import sort_by, sorted_rows, top_keys, topk, with_percent_rank, with_rank
-from faultline.operators.staging import BROADCAST_ROWS, exists_then_group, stage
+from faultline.operators.staging import BROADCAST_ROWS, keep_existing, stage
 from faultline.sources.tables import Tables
 
 # Makes compared by the component x make cube.
@@ -495,9 +495,9 @@ def q14(t: Tables) -> DataFrame:
 
 
 def _low_rated_recalls(
-    t: Tables, year: Column, year_name: str, max_stars: int, k: int, max_rows: int
+    t: Tables, year: Column, max_stars: int, k: int, max_rows: int
 ) -> DataFrame:
-    car = ["VEHICLE_MAKE", "VEHICLE_MODEL", year_name]
+    car = ["VEHICLE_MAKE", "VEHICLE_MODEL", "MODEL_YEAR"]
     low = t.ratings.filter(F.col("OVERALL_STARS") <= max_stars).select(
         norm_text(F.col("MAKE")).alias(car[0]),
         norm_text(F.col("MODEL")).alias(car[1]),
@@ -513,19 +513,16 @@ def _low_rated_recalls(
         "POTAFF",
     )
 
-    def per_component(kept: DataFrame) -> DataFrame:
-        keys = [*car, "PRIMARY_COMPONENT"]
-        return (
-            dedupe_measure(kept, [*keys, "campaign"], "POTAFF")
-            .groupBy(*keys)
-            .agg(
-                F.count("campaign").alias("RECALL_CAMPAIGNS_ISSUED"),
-                F.sum("POTAFF").alias("TOTAL_VEHICLES_RECALLED"),
-            )
+    keys = [*car, "PRIMARY_COMPONENT"]
+    grouped = (
+        dedupe_measure(rows, [*keys, "campaign"], "POTAFF")
+        .groupBy(*keys)
+        .agg(
+            F.count("campaign").alias("RECALL_CAMPAIGNS_ISSUED"),
+            F.sum("POTAFF").alias("TOTAL_VEHICLES_RECALLED"),
         )
-
-    grouped = exists_then_group(rows, low, per_component, max_rows)
-    named = grouped.withColumnRenamed(year_name, "MODEL_YEAR")
+    )
+    named = keep_existing(grouped, low, max_rows)
     return topk(
         named, k, "-TOTAL_VEHICLES_RECALLED", "VEHICLE_MAKE", "VEHICLE_MODEL", "MODEL_YEAR", "PRIMARY_COMPONENT"
     )
@@ -533,12 +530,12 @@ def _low_rated_recalls(
 
 def q15(t: Tables, max_stars: int = 2, k: int = 25, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Recalls of cars with a low crash-test rating; the year is read from its digits."""
-    return _low_rated_recalls(t, digits_year(F.col("YEARTXT")), "CLEAN_YEAR", max_stars, k, max_rows)
+    return _low_rated_recalls(t, digits_year(F.col("YEARTXT")), max_stars, k, max_rows)
 
 
 def q16(t: Tables, max_stars: int = 2, k: int = 25, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """q15 with the year text taken as a number, so annotated years do not match."""
-    return _low_rated_recalls(t, try_year(F.col("YEARTXT")), "MODEL_YEAR", max_stars, k, max_rows)
+    return _low_rated_recalls(t, try_year(F.col("YEARTXT")), max_stars, k, max_rows)
 
 
 def q17(

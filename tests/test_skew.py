@@ -81,11 +81,15 @@ def test_rows_match(spark, skewed, statements, monkeypatch, name, path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_semi_join_moves_above_the_grouping(skewed, monkeypatch):
-    def semi_join_comes_last():
+def test_semi_join_is_below_or_above_the_grouping(spark, skewed, monkeypatch):
+    def above():
         text = reports.q15(skewed[1])._jdf.queryExecution().executedPlan().toString()
         return text.index("LeftSemi") < text.index("Aggregate")
 
-    assert not semi_join_comes_last()
-    monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
-    assert semi_join_comes_last()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not above()
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
+        assert above()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
