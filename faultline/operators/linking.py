@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.functions.numbers import try_year
-from faultline.operators.staging import stage
+from faultline.operators.staging import stage_all
 
 
 def complaints_with_ratings(complaints: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -61,13 +61,15 @@ def complaints_to_recalls(
     """
     car = ["_make", "_model", "YEARTXT"]
     named = complaints.withColumns({"_make": F.upper("MAKETXT"), "_model": F.upper("MODELTXT")})
-    cars = stage(
-        named.groupBy("MAKETXT", *car).agg(F.sum("DEATHS").alias("_deaths"), F.sum("INJURED").alias("_injured"))
+    cars = named.groupBy("MAKETXT", *car).agg(
+        F.sum("DEATHS").alias("_deaths"), F.sum("INJURED").alias("_injured")
     )
     recalled = recalls.select(
         F.upper("MAKETXT").alias("_make"), F.upper("MODELTXT").alias("_model"), "YEARTXT", "CAMPNO"
     ).filter("_make IS NOT NULL AND _model IS NOT NULL AND YEARTXT IS NOT NULL")
-    campaigns = stage(recalled.groupBy(*car, "CAMPNO").agg(F.count(F.lit(1)).alias("_rows")))
+    campaigns = recalled.groupBy(*car, "CAMPNO").agg(F.count(F.lit(1)).alias("_rows"))
+    volume = complaints.groupBy("MAKETXT").agg(F.countDistinct("CMPLID").alias("COMPLAINT_COUNT"))
+    cars, campaigns, volume = stage_all(cars, campaigns, volume.filter(F.col("COMPLAINT_COUNT") > min_complaints))
 
     # One row per car on both sides: casualties weighted by the recall rows of the car.
     rows_per_car = campaigns.groupBy(*car).agg(F.sum("_rows").alias("_rows"))
@@ -89,11 +91,6 @@ def complaints_to_recalls(
         .groupBy("MAKETXT")
         .agg(F.countDistinct("CAMPNO").alias("_related"))
     )
-    volume = (
-        complaints.groupBy("MAKETXT")
-        .agg(F.countDistinct("CMPLID").alias("COMPLAINT_COUNT"))
-        .filter(F.col("COMPLAINT_COUNT") > min_complaints)
-    )
     side = "_joined" if fan_out else "_own"
     return (
         volume.join(casualties, "MAKETXT")

@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -39,6 +40,13 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_all(*frames: DataFrame) -> list[DataFrame]:
+    """Independent frames staged by jobs that run side by side."""
+    _ensure_checkpoint_dir(frames[0].sparkSession)
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(stage, frames))
+
+
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """The staged frame, and whether it is small enough to send to every executor."""
     staged = stage(df)

@@ -10,6 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultline.sources.tables import Tables
 
+# Columns read from the star-schema tables; naming them saves a schema-inference job per scan.
+STAR_SCHEMAS = {
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": (
+        "o_orderkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_discount DOUBLE, "
+        "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": "event_id BIGINT, user_id BIGINT, event_type STRING, props STRING",
+}
+
 # Component path per p_size % 14.
 COMPONENT_PATHS = [
     "SERVICE BRAKES, HYDRAULIC:FOUNDATION",
@@ -45,6 +58,10 @@ NARRATIVES = [
 BODY_STYLES = {"SMALL": "2 DR", "ECONOMY": "5 HB", "MEDIUM": "4 DR", "STANDARD": "4DR", "LARGE": "SUV"}
 
 
+def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
+
+
 def _choose(index: Column, values: list[str | None]) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -55,7 +72,7 @@ def _brand(separator: str) -> Column:
 
 def _parts(spark: SparkSession, root: str) -> DataFrame:
     """Everything that depends on the part alone, worked out once per part and not per joined row."""
-    return spark.read.parquet(f"{root}/part.parquet").select(
+    return _table(spark, root, "part").select(
         "p_partkey",
         _brand(" ").alias("brand"),
         _brand("-").alias("hyphenated"),
@@ -93,7 +110,7 @@ def _yes_no(flag: Column) -> Column:
 
 
 def ratings(spark: SparkSession, root: str) -> DataFrame:
-    part = spark.read.parquet(f"{root}/part.parquet")
+    part = _table(spark, root, "part")
     key, size = F.col("p_partkey"), F.col("p_size")
 
     def stars(shift: int) -> Column:
@@ -117,7 +134,7 @@ def ratings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def complaints(spark: SparkSession, root: str) -> DataFrame:
-    line = spark.read.parquet(f"{root}/lineitem.parquet")
+    line = _table(spark, root, "lineitem")
     part = _parts(spark, root)
     key, number = F.col("l_orderkey"), F.col("l_linenumber")
     return line.join(part, line.l_partkey == part.p_partkey).select(
@@ -136,8 +153,8 @@ def complaints(spark: SparkSession, root: str) -> DataFrame:
 
 
 def recalls(spark: SparkSession, root: str) -> DataFrame:
-    order = spark.read.parquet(f"{root}/orders.parquet")
-    line = spark.read.parquet(f"{root}/lineitem.parquet")
+    order = _table(spark, root, "orders")
+    line = _table(spark, root, "lineitem")
     part = _parts(spark, root)
     key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
     rows = line.join(part, line.l_partkey == part.p_partkey).join(order, line.l_orderkey == order.o_orderkey)
@@ -164,7 +181,7 @@ def recalls(spark: SparkSession, root: str) -> DataFrame:
 
 
 def investigations(spark: SparkSession, root: str) -> DataFrame:
-    event = spark.read.parquet(f"{root}/events.parquet")
+    event = _table(spark, root, "events")
     key, user = F.col("event_id"), F.col("user_id")
     return event.select(
         F.concat(F.lit("PE"), (key % 500).cast("string")).alias("ACTION_NUMBER"),
