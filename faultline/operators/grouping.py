@@ -53,18 +53,17 @@ def extent(df: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Equal-width bins from the smallest to the largest value, the last one closed; empty bins show 0."""
+    """Equal-width bins from the smallest to the largest value, the last one closed; empty bins show 0.
+
+    One pass finds the two ends, a second one counts; no row is compared with a range.
+    """
     present = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
-    low, high = F.min("x"), F.max("x")
-    one_value = low == high
-    ends = present.agg(
-        F.struct(
-            F.when(one_value, low - 0.5).otherwise(low).alias("low"),
-            F.when(one_value, high + 0.5).otherwise(high).alias("high"),
-        ).alias("ends")
-    )
-    start = ends.scalar().getField("low")
-    width = (ends.scalar().getField("high") - ends.scalar().getField("low")) / bins
+    low, high = present.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        low, high = 0.0, 1.0
+    elif low == high:
+        low, high = low - 0.5, high + 0.5
+    start, width = F.lit(low), F.lit((high - low) / bins)
     counts = (
         present.select(F.least(F.floor((F.col("x") - start) / width), F.lit(bins - 1)).cast("bigint").alias("BIN"))
         .groupBy("BIN")

@@ -533,31 +533,101 @@ _add("ml_coefs_ols", "injuries_coefs deaths_coefs", """
 select * from injuries_coefs union all select * from deaths_coefs""")
 _add("plot_q18a", "injuries_scored", f"select y as LABEL, {_round('p', 6)} as PREDICTION from injuries_scored")
 _add("ml_residual_hist", "injuries_scored", _histogram("injuries_scored", "y - p", 8))
-_add("rule_scored", "ml_recall_frame", """
-select y, cast(COMPLAINT_COUNT > 500 as int) as p from ml_recall_frame where not train""")
-_add("ml_cls_metrics", "rule_scored", f"""
-select 'rule' as MODEL, 'ACCURACY' as METRIC, {_round('avg(cast(y = p as int))', 6)} as VALUE from rule_scored""")
-_add("ml_confusion", "rule_scored", f"""
+
+
+def _newton(frame: str, label: str, features: list[str], steps: int) -> str:
+    """Newton's steps for the log loss plus half the squared coefficients, intercept free.
+
+    Features are divided by their largest value and the penalty adjusted, so the minimum is that
+    of the unscaled problem. Each step sums gradient and Hessian over the training rows and solves
+    the small linear system by elimination.
+    """
+    ids = range(len(features) + 1)
+    weights = ", ".join(f"w{i}" for i in ids)
+    upper = [(i, j) for i in ids for j in ids if j >= i]
+    score = " + ".join(f"w{i}*x{i}" for i in ids)
+    hessian = [f"sum(p*(1-p)*x{i}*x{j}){f' + max(q{i})' if i == j and i else ''} as a{i}_{j}" for i, j in upper]
+    gradient = [f"sum((p - y)*x{i}){f' + max(q{i})*w{i}' if i else ''} as b{i}" for i in ids]
+    step = (
+        f"select k, {weights}, {', '.join(hessian + gradient)} "
+        f"from (select *, 1/(1 + exp(-({score}))) as p from steps, scaled where k < {steps}) group by k, {weights}"
+    )
+    for p in ids[:-1]:
+        rows = [f"a{i}_{j} - a{p}_{i}*a{p}_{j}/a{p}_{p} as a{i}_{j}" for i, j in upper if i > p]
+        rows += [f"b{i} - a{p}_{i}*b{p}/a{p}_{p} as b{i}" for i in ids if i > p]
+        step = f"select * replace ({', '.join(rows)}) from ({step})"
+    for p in reversed(ids):
+        known = "".join(f" - a{p}_{j}*d{j}" for j in ids if j > p)
+        step = f"select *, (b{p}{known})/a{p}_{p} as d{p} from ({step})"
+    scaled = ", ".join(
+        f"{f}/(max({f}) over ()) as x{i}, 1/(max({f}) over ())^2 as q{i}, max({f}) over () as m{i}"
+        for i, f in enumerate(features, 1)
+    )
+    moved = ", ".join(f"w{i} - d{i}" for i in ids)
+    slopes = ", ".join(f"w{i}/m{i} as b{i}" for i in ids if i)
+    return f"""
+with recursive scaled as (select {label} as y, 1e0 as x0, {scaled} from {frame} where train),
+steps as (select 0 as k, {', '.join(f'0e0 as w{i}' for i in ids)} union all select k + 1, {moved} from ({step}))
+select distinct w0 as a, {slopes} from steps, scaled where k = {steps}"""
+
+
+_RECALL_FEATURES = ["COMPLAINT_COUNT", "INJURIES_FROM_COMPLAINTS", "DEATHS_FROM_COMPLAINTS"]
+_DEATH_FEATURES = ["TOTAL_COMPLAINTS", "CRASH_COUNT", "FIRE_COUNT", "TOTAL_INJURIES"]
+_add("ml_death_flag_frame", "q03", f"""
+with complete as (
+ select *, {_train('MAKE')} as train from q03
+ where MAKE is not null and TOTAL_DEATHS is not null and TOTAL_INJURIES is not null)
+select *, cast(TOTAL_DEATHS > (select median(TOTAL_DEATHS) from complete) as int) as y from complete""")
+
+
+def _accuracy(name: str, rows: str) -> str:
+    return f"""
+select '{name}' as MODEL, 'ACCURACY' as METRIC, {_round('avg(cast(y = p as int))', 6)} as VALUE from {rows}"""
+
+
+def _confusion(rows: str) -> str:
+    return f"""
 with cells(ACTUAL, PREDICTED, CELL) as (
  values (0, 0, 'True Negative'), (0, 1, 'False Positive'), (1, 0, 'False Negative'), (1, 1, 'True Positive')),
 counted as (
- select ACTUAL, PREDICTED, CELL, count(y) as N from cells left join rule_scored on y = ACTUAL and p = PREDICTED group by all),
-shared as (select *, {_round('N / (select count(*) from rule_scored)', 6)} as SHARE from counted)
-select *, '(' || printf('%.1f%%', SHARE * 100) || ')' as SHARE_LABEL from shared""")
-_add("ml_cls_report", "rule_scored", f"""
+ select ACTUAL, PREDICTED, CELL, count(y) as N from cells left join {rows} on y = ACTUAL and p = PREDICTED group by all),
+shared as (select *, {_round(f'N / (select count(*) from {rows})', 6)} as SHARE from counted)
+select *, '(' || printf('%.1f%%', SHARE * 100) || ')' as SHARE_LABEL from shared"""
+
+
+def _report(rows: str) -> str:
+    return f"""
 with per_class as (
  select c, count(*) filter (where y = c and p = c) as hit, count(*) filter (where p = c) as guessed,
-  count(*) filter (where y = c) as support from rule_scored, (values (0), (1)) v(c) group by c),
+  count(*) filter (where y = c) as support from {rows}, (values (0), (1)) v(c) group by c),
 s as (
  select c, support, coalesce(hit / nullif(guessed, 0), 0) as pr, coalesce(hit / nullif(support, 0), 0) as re,
   coalesce(2 * hit / nullif(guessed + support, 0), 0) as f1 from per_class),
-rows_ as (
+lines as (
  select cast(c as varchar) as CLASS, pr, re, f1, support from s
  union all select 'macro avg', avg(pr), avg(re), avg(f1), sum(support) from s
  union all select 'weighted avg', sum(pr * support) / sum(support), sum(re * support) / sum(support),
   sum(f1 * support) / sum(support), sum(support) from s)
 select CLASS, {_round('pr', 6)} as PRECISION, {_round('re', 6)} as RECALL, {_round('f1', 6)} as F1,
- {_big('support')} as SUPPORT from rows_""")
+ {_big('support')} as SUPPORT from lines"""
+
+
+_add("rule_scored", "ml_recall_frame", """
+select y, cast(COMPLAINT_COUNT > 500 as int) as p from ml_recall_frame where not train""")
+_add("ml_cls_metrics", "rule_scored", _accuracy("rule", "rule_scored"))
+_add("ml_confusion", "rule_scored", _confusion("rule_scored"))
+_add("ml_cls_report", "rule_scored", _report("rule_scored"))
+for _name, _frame, _features in (
+    ("recalls", "ml_recall_frame", _RECALL_FEATURES),
+    ("deaths", "ml_death_flag_frame", _DEATH_FEATURES),
+):
+    _add(f"logit_{_name}_model", _frame, _newton(_frame, "y", _features, 60))
+    _line = " + ".join(f"b{i}*{f}" for i, f in enumerate(_features, 1))
+    _add(f"logit_{_name}_scored", f"{_frame} logit_{_name}_model", f"""
+select y, cast(a + {_line} > 0 as int) as p from {_frame}, logit_{_name}_model where not train""")
+    _add(f"ml_logit_{_name}", f"logit_{_name}_scored", _accuracy(f"logit_{_name}", f"logit_{_name}_scored"))
+    _add(f"ml_logit_{_name}_report", f"logit_{_name}_scored", _report(f"logit_{_name}_scored"))
+_add("plot_q19a", "logit_recalls_scored", _confusion("logit_recalls_scored"))
 
 # ---------------------------------------------------------------- single operators
 
@@ -680,6 +750,7 @@ _HELPERS = {
     "q09_detail", "q10_campaigns", "q10_actions", "actions_per_make", "q10_sizes", "risk_card", "ml_recall_frame",
     "rule_scored", "injury_rule", "deaths_frame",
     *[f"{n}_{part}" for n in ("injuries", "deaths") for part in ("model", "scored", "coefs")],
+    "ml_death_flag_frame", *[f"logit_{n}_{part}" for n in ("recalls", "deaths") for part in ("model", "scored")],
 }
 
 

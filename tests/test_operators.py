@@ -50,6 +50,8 @@ def test_histogram(spark):
     assert got[0][1:3] == (0.0, 2.0) and got[-1][1:3] == (8.0, 10.0)
     constant = grouping.histogram(spark.createDataFrame([(4.0,)] * 3, "x double"), "x", 2).orderBy("BIN")
     assert [tuple(r) for r in constant.collect()] == [(0, 3.5, 4.0, 0), (1, 4.0, 4.5, 3)]
+    nothing = grouping.histogram(spark.createDataFrame([(None,)], "x double"), "x", 2).orderBy("BIN")
+    assert [tuple(r) for r in nothing.collect()] == [(0, 0.0, 0.5, 0), (1, 0.5, 1.0, 0)]
 
 
 def test_pivots_and_shares(spark):
