@@ -29,14 +29,16 @@ def _reverse(*names: str) -> list[Column]:
 
 
 def value_ranks(
-    df: DataFrame, partition: Sequence[str], value: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, partition: Sequence[str], value: str, hot_rows: int = HOT_ROWS, weight: str | None = None
 ) -> DataFrame:
     """One row per distinct (partition, value): its descending RANK and its PERCENT_RANK.
 
     All rows with the same value share a rank, so ranking the counts of distinct values is
-    enough and no task ever sorts the rows themselves.
+    enough and no task ever sorts the rows themselves. ``weight`` names a column of row counts
+    if ``df`` is counted already.
     """
-    counts = stage(df.groupBy(*partition, value).agg(F.count(F.lit(1)).alias("_n")))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = stage(df.groupBy(*partition, value).agg(rows.alias("_n")))
     summed = ordered_features(
         counts,
         partition,

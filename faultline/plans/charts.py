@@ -181,15 +181,19 @@ def plot_q05a(t: Tables) -> DataFrame:
 
 
 def plot_q05b(t: Tables) -> DataFrame:
-    """Ten most reported failures, similar narratives merged, empty ones left out."""
-    text, make = F.col("COMPONENT"), F.col("MAKE")
-    telling = reports.q05(t).filter(
+    """Ten most reported failures, similar narratives merged, empty ones left out.
+
+    These are the detail rows of q05 added up by failure. Rows are named before they are
+    grouped, so whole narratives are not shuffled where a pattern matches.
+    """
+    text, make = F.col("CDESCR"), F.col("MAKETXT")
+    telling = _present(t.complaints, "CDESCR", "MAKETXT").filter(
         not_in(lower_strip(text), NOT_A_COMPONENT)
         & not_in(lower_strip(make), NOT_A_COMPONENT)
         & ~matches(strip(text), COMPLAINT_NOISE)
     )
     totals = telling.groupBy(consolidate_failures(text).alias("FAILURE")).agg(
-        _total("COMPLAINT_COUNT").alias("COMPLAINT_COUNT")
+        F.count(F.lit(1)).alias("COMPLAINT_COUNT")
     )
     return nlargest(totals, 10, "COMPLAINT_COUNT", "FAILURE").select(
         truncate(F.col("FAILURE"), 35).alias("COMPONENT"), "COMPLAINT_COUNT"

@@ -17,8 +17,8 @@ from faultline.functions.text import norm_make, norm_text
 from faultline.operators.grouping import dedupe_measure, merged_label, subtotal_label
 from faultline.operators.linking import complaints_to_recalls, complaints_with_ratings
 from faultline.operators.ordered import HOT_ROWS, key_sum, moving_average, ordered_features, previous, running_sum
-from faultline.operators.ranking import sort_by, sorted_rows, top_keys, topk, with_percent_rank, with_rank
-from faultline.operators.staging import BROADCAST_ROWS, keep_existing, stage
+from faultline.operators.ranking import sort_by, sorted_rows, top_keys, topk, value_ranks, with_rank
+from faultline.operators.staging import BROADCAST_ROWS, keep_existing, lookup, stage
 from faultline.sources.tables import Tables
 
 # Makes compared by the component x make cube.
@@ -102,10 +102,16 @@ def add_make_trend(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def q02(t: Tables, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rating trend: seven ordered features of every rated vehicle."""
-    df = add_make_trend(rated(t), hot_rows)
-    df = with_percent_rank(df, "OVERALL_STARS", "SAFETY_PERCENTILE", hot_rows=hot_rows)
-    df = with_rank(df, ["MODEL_YR"], "OVERALL_STARS", "RANK_IN_YEAR", hot_rows=hot_rows)
+    """Rating trend: seven ordered features of every rated vehicle.
+
+    Both ranks come from one count per (year, stars) and are attached to the rows.
+    """
+    vehicles, stars, year = rated(t), "OVERALL_STARS", "MODEL_YR"
+    counts = stage(vehicles.groupBy(year, stars).agg(_rows().alias("n")))
+    overall = value_ranks(counts, [], stars, hot_rows, "n").withColumnRenamed("PERCENT_RANK", "SAFETY_PERCENTILE")
+    in_year = value_ranks(counts, [year], stars, hot_rows, "n").withColumnRenamed("RANK", "RANK_IN_YEAR")
+    df = lookup(add_make_trend(vehicles, hot_rows), overall.drop("RANK"), [stars])
+    df = lookup(df, in_year.drop("PERCENT_RANK"), [year, stars])
     return sorted_rows(df, *sort_by("MAKE"), *trend_order(df)).select(
         "MAKE",
         "MODEL",
