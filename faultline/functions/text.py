@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Every character Python counts as white space.
+WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
 
 def norm_text(c: Column) -> Column:
     """Upper case without surrounding spaces."""
@@ -21,8 +24,8 @@ def path_head(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Drop white space of any kind at both ends (``trim`` drops spaces only)."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    """Drop white space of any kind at both ends (``trim`` alone drops spaces only)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def lower_strip(c: Column) -> Column:

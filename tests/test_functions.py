@@ -68,7 +68,7 @@ def test_safe_ratio(spark):
 
 
 def test_text(spark):
-    values = ["Air-bags: o2 sENSOR's", "(abc) 3.5l", "", None, "\ttab\n"]
+    values = ["Air-bags: o2 sENSOR's", "(abc) 3.5l", "", None, "\ttab\n", "\xa0wide\u3000 Space\u2009"]
     assert apply(spark, values, "string", text.title) == [None if v is None else v.title() for v in values]
     assert apply(spark, values, "string", text.lower_strip) == [None if v is None else v.lower().strip() for v in values]
     assert apply(spark, [" a-b ", "\tx"], "string", text.norm_make) == ["A B", "\tX"]
