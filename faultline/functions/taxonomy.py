@@ -169,11 +169,17 @@ def not_in(c: Column, values: list[str]) -> Column:
     return c.isNull() | ~c.isin(values)
 
 
-def consolidate_failures(c: Column, patterns: Mapping[str, str] = FAILURE_PATTERNS) -> Column:
-    """First matching failure name, otherwise the text as it is."""
+def consolidate_failures(
+    c: Column, stripped: Column | None = None, patterns: Mapping[str, str] = FAILURE_PATTERNS
+) -> Column:
+    """First failure whose pattern matches the stripped text, otherwise the text as it is.
+
+    ``stripped`` may name a column that holds the stripped text already.
+    """
+    tested = strip(c) if stripped is None else stripped
     out = c
     for pattern, name in reversed(patterns.items()):
-        out = F.when(matches(strip(c), pattern), name).otherwise(out)
+        out = F.when(matches(tested, pattern), name).otherwise(out)
     return out
 
 

@@ -186,13 +186,14 @@ def plot_q05b(t: Tables) -> DataFrame:
     These are the detail rows of q05 added up by failure. Rows are named before they are
     grouped, so whole narratives are not shuffled where a pattern matches.
     """
-    text, make = F.col("CDESCR"), F.col("MAKETXT")
-    telling = _present(t.complaints, "CDESCR", "MAKETXT").filter(
-        not_in(lower_strip(text), NOT_A_COMPONENT)
-        & not_in(lower_strip(make), NOT_A_COMPONENT)
-        & ~matches(strip(text), COMPLAINT_NOISE)
-    )
-    totals = telling.groupBy(consolidate_failures(text).alias("FAILURE")).agg(
+    named = _present(t.complaints.select("CDESCR", "MAKETXT"), "CDESCR", "MAKETXT")
+    stripped = F.col("STRIPPED")
+    telling = named.withColumn("STRIPPED", strip(F.col("CDESCR"))).filter(
+        not_in(F.lower(stripped), NOT_A_COMPONENT)
+        & not_in(lower_strip(F.col("MAKETXT")), NOT_A_COMPONENT)
+        & ~matches(stripped, COMPLAINT_NOISE)
+    )
+    totals = telling.groupBy(consolidate_failures(F.col("CDESCR"), stripped).alias("FAILURE")).agg(
         F.count(F.lit(1)).alias("COMPLAINT_COUNT")
     )
     return nlargest(totals, 10, "COMPLAINT_COUNT", "FAILURE").select(
