@@ -64,9 +64,13 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     elif low == high:
         low, high = low - 0.5, high + 0.5
     start, width = F.lit(low), F.lit((high - low) / bins)
+    x, near = F.col("x"), F.col("near")
+    # The division can round a value across an edge, so the edges themselves decide.
+    below = (x < start + near * width).cast("int")
+    above = ((near < bins - 1) & (x >= start + (near + 1) * width)).cast("int")
     counts = (
-        present.select(F.least(F.floor((F.col("x") - start) / width), F.lit(bins - 1)).cast("bigint").alias("BIN"))
-        .groupBy("BIN")
+        present.withColumn("near", F.least(F.floor((x - start) / width), F.lit(bins - 1)))
+        .groupBy((near - below + above).cast("bigint").alias("BIN"))
         .agg(F.count(F.lit(1)).alias("N"))
     )
     every = df.sparkSession.range(bins).select(F.col("id").alias("BIN"))

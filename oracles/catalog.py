@@ -405,7 +405,9 @@ def _histogram(source: str, x: str, bins: int) -> str:
 with xs as (select {x} as x from {source}),
 ends as (select min(x) as lo, (max(x) - min(x)) / {bins} as w from xs where x is not null),
 counted as (
- select least({_big('floor((x - lo) / w)')}, {bins - 1}) as BIN, count(*) as N from xs, ends where x is not null group by 1)
+ select list_position(list_transform(generate_series(0, {bins - 1}), lambda i: x >= lo + i * w
+  and (i = {bins - 1} or x < lo + (i + 1) * w)), true) - 1 as BIN, count(*) as N
+ from xs, ends where x is not null group by 1)
 select {_big('b')} as BIN, {_round('lo + b * w', 6)} as BIN_LOW, {_round('lo + (b + 1) * w', 6)} as BIN_HIGH,
  coalesce(N, 0) as N
 from generate_series(0, {bins - 1}) s(b) cross join ends left join counted on BIN = b"""

@@ -1,5 +1,6 @@
 """Grouping, linking and ranking operators on small frames, and fast forms against plain ones."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,10 @@ def test_histogram(spark):
     assert got[0][1:3] == (0.0, 2.0) and got[-1][1:3] == (8.0, 10.0)
     constant = grouping.histogram(spark.createDataFrame([(4.0,)] * 3, "x double"), "x", 2).orderBy("BIN")
     assert [tuple(r) for r in constant.collect()] == [(0, 3.5, 4.0, 0), (1, 4.0, 4.5, 3)]
+    tenths = [i / 10 for i in range(11)] * 2 + [0.35, 0.6000000001]
+    by_numpy = np.histogram(tenths, bins=10)[0].tolist()
+    ours = grouping.histogram(spark.createDataFrame([(x,) for x in tenths], "x double"), "x", 10).orderBy("BIN")
+    assert [r.N for r in ours.collect()] == by_numpy
     nothing = grouping.histogram(spark.createDataFrame([(None,)], "x double"), "x", 2).orderBy("BIN")
     assert [tuple(r) for r in nothing.collect()] == [(0, 0.0, 0.5, 0), (1, 0.5, 1.0, 0)]
 
