@@ -95,7 +95,8 @@ def tail(df: DataFrame, k: int, *order: str) -> DataFrame:
 
 def top_keys(df: DataFrame, key: str, k: int, measure: Column | None = None) -> DataFrame:
     """The k keys with the largest measure (row count unless given); missing keys do not compete."""
-    measured = df.filter(F.col(key).isNotNull()).groupBy(key).agg((F.count(F.lit(1)) if measure is None else measure).alias("_m"))
+    measure = F.count(F.lit(1)) if measure is None else measure
+    measured = df.filter(F.col(key).isNotNull()).groupBy(key).agg(measure.alias("_m"))
     return nlargest(measured, k, "_m", key).select(key)
 
 

@@ -44,8 +44,8 @@ def in_training(*key: str) -> Column:
 def model_frame(df: DataFrame, keys: Sequence[str], features: Sequence[str], *targets: str) -> DataFrame:
     """Numeric features and targets, rows with a missing one dropped, and the split."""
     columns = list(dict.fromkeys([*features, *targets]))
-    kept = df.select(in_training(*keys).alias("TRAIN"), *keys, *[F.col(c).cast("double").alias(c) for c in columns if c not in keys])
-    return kept.na.drop(subset=columns)
+    numeric = [F.col(c).cast("double").alias(c) for c in columns]
+    return df.select(in_training(*keys).alias("TRAIN"), *keys, *numeric).na.drop(subset=columns)
 
 
 _CAR_KEYS = ["MAKE", "MODEL", "MODEL_YEAR"]
@@ -130,8 +130,9 @@ def logit_deaths(t: Tables) -> Fitted:
 
 
 def _long(row: DataFrame, name: str, metrics: Sequence[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(m).alias("METRIC"), F.round(F.col(m).cast("double"), 6).alias("VALUE")) for m in metrics])
-    return row.select(F.lit(name).alias("MODEL"), F.explode(pairs).alias("m")).select("MODEL", "m.METRIC", "m.VALUE")
+    pairs = [F.struct(F.lit(m).alias("METRIC"), F.round(F.col(m).cast("double"), 6).alias("VALUE")) for m in metrics]
+    lines = row.select(F.lit(name).alias("MODEL"), F.explode(F.array(*pairs)).alias("m"))
+    return lines.select("MODEL", "m.METRIC", "m.VALUE")
 
 
 def regression_metrics(scored: DataFrame, name: str) -> DataFrame:
@@ -174,7 +175,8 @@ def confusion(scored: DataFrame) -> DataFrame:
         cell(1, 0, "False Negative"),
         cell(1, 1, "True Positive"),
     )
-    counted = scored.agg(F.count(F.lit(1)).alias("total"), cells.alias("cells")).select("total", F.explode("cells").alias("c"))
+    sums = scored.agg(F.count(F.lit(1)).alias("total"), cells.alias("cells"))
+    counted = sums.select("total", F.explode("cells").alias("c"))
     share = F.try_divide(F.col("c.N").cast("double"), F.col("total"))
     return counted.select(
         "c.ACTUAL",

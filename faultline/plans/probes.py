@@ -109,7 +109,8 @@ def x_sign_bucket(t: Tables) -> DataFrame:
 
 def x_right_closed_bins(t: Tables) -> DataFrame:
     """Stars scaled to 0 .. 1.25 fall on every edge and outside."""
-    scaled = t.ratings.withColumn("X", (F.col("OVERALL_STARS") - 1) / 4 + F.when(F.col("MODEL_YR") == 1995, 0.25).otherwise(0.0))
+    shift = F.when(F.col("MODEL_YR") == 1995, 0.25).otherwise(0.0)
+    scaled = t.ratings.withColumn("X", (F.col("OVERALL_STARS") - 1) / 4 + shift)
     edges, labels = [-0.01, 0.25, 0.5, 0.75, 1.0], ["a", "b", "c", "d"]
     return _shown(scaled, "X", BIN=numbers.right_closed_bins(F.col("X"), edges, labels))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import grouping, linking, ranking, staging
+from faultline.operators import grouping, ranking, staging
 from faultline.plans import reports
 from faultline.sources.tables import SCHEMAS, Tables
 
