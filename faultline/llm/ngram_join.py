@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.llm.components import components
 from faultline.llm.words import hashed, mixed, ngrams, slices, split_words
@@ -315,3 +315,15 @@ def _with_key(run):
                 yield out.append_column("text_key", part.column("text_key"))
 
     return both
+
+
+def one_of_each(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id and text are among ``chosen`` (doc_id, text_key), each once."""
+
+    def place(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))  # null ids meet, too
+
+    keys = chosen.select(place("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    rows = docs.withColumns({"_id": place(id_col), "_key": F.xxhash64(text_col)}).join(keys, ["_id", "_key"])
+    first = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id"))
+    return rows.withColumn("_nth", first).where("_nth = 1").select(docs.columns)
