@@ -1,4 +1,4 @@
-"""The dealt operators as queries over the given tables, and DuckDB SQL for those that SQL expresses."""
+"""The dealt operators as queries over the given tables."""
 
 from __future__ import annotations
 
@@ -11,11 +11,14 @@ from faultline.llm import (
     byte_bpe,
     chat_events,
     line_dedup,
+    multi_index,
     ngram_join,
     pareto_mix,
     pu_toxicity,
     repetition,
+    warc,
 )
+from faultline.llm.oracles import oracle_sql as oracle_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +32,7 @@ def ranks_path() -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rules(_table(spark, sf_dir, "documents"))
+    return repetition.repetition_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat", "n_spans", "spans")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +71,8 @@ def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return line_dedup.duplicate_lines(docs, line_dedup.read_lines(docs)).drop("text_key")
+    found = line_dedup.duplicate_lines(docs, line_dedup.read_lines(docs)).drop("text_key")
+    return found.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_ngram_join, op3_repetition, op4_secret_scan,
+            op1_ngram_join, op2_multi_index, op3_repetition, op4_secret_scan, op5_warc_segments,
             op6_chat_events, op7_line_dedup, op8_toxicity, op9_pareto_mix, op10_byte_bpe,
         )
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
