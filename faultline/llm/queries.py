@@ -50,12 +50,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = blob_ledger.findings_by_path(names, findings)
     base = [r.kind for r in blob_ledger.BASE]
 
-    def joined(kinds: list[str] | None):
-        rows = F.col("found") if kinds is None else F.filter("found", lambda f: f["kind"].isin(kinds))
+    def of(*kinds: str):
+        return F.filter("found", lambda f: f["kind"].isin(*kinds))
+
+    def joined(rows):
         return F.array_join(F.transform(rows, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
-    counts = [F.size(F.filter("found", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(None).alias("spans"))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
 def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
