@@ -160,8 +160,9 @@ def is_yes(c: Column) -> Column:
 
 
 def matches(c: Column, pattern: str) -> Column:
-    """Pattern found in the text; a missing text matches nothing."""
-    return F.coalesce(F.rlike(c, F.lit(pattern)), F.lit(False))
+    """Pattern found in the text; a missing text matches nothing. A dot stops at line feeds only, and case folds in all
+    scripts."""
+    return F.coalesce(F.rlike(c, F.lit("(?du)" + pattern)), F.lit(False))
 
 
 def not_in(c: Column, values: list[str]) -> Column:

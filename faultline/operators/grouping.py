@@ -97,6 +97,7 @@ def exact_median(
         sort_by(value),
         [running_sum("_upto", "_n"), key_sum("_all", "_n")],
         unique=True,
+        staged=True,
         hot_rows=hot_rows,
     )
 

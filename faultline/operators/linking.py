@@ -69,7 +69,8 @@ def complaints_to_recalls(
     ).filter("_make IS NOT NULL AND _model IS NOT NULL AND YEARTXT IS NOT NULL")
     campaigns = recalled.groupBy(*car, "CAMPNO").agg(F.count(F.lit(1)).alias("_rows"))
     volume = complaints.groupBy("MAKETXT").agg(F.countDistinct("CMPLID").alias("COMPLAINT_COUNT"))
-    cars, campaigns, volume = stage_all(cars, campaigns, volume.filter(F.col("COMPLAINT_COUNT") > min_complaints))
+    volume = volume.filter(F.col("COMPLAINT_COUNT") > min_complaints)
+    cars, campaigns = stage_all(cars, campaigns)  # each is used twice
 
     # One row per car on both sides: casualties weighted by the recall rows of the car.
     rows_per_car = campaigns.groupBy(*car).agg(F.sum("_rows").alias("_rows"))

@@ -1,11 +1,14 @@
 """Ordered features (previous row, moving average, running sum, row position) that survive hot keys.
 
 A window partitioned by key sends all rows of one key to one task. ``ordered_features``
-counts the largest group first. Groups of a sane size use the plain window. Otherwise the
-rows are range-partitioned by (key, order), which cuts a hot key into runs of consecutive
-rows; features are computed inside each run, and what the earlier runs of the same key
+stages its input once and counts the largest group of what it staged. Groups of a sane size use the plain
+window. Otherwise the rows are range-partitioned by (key, order), which cuts a hot key into runs of
+consecutive rows; features are computed inside each run, and what the earlier runs of the same key
 contribute (row count, sums, last few values) is carried in through a small frame that
 has at most two rows per range partition.
+
+Both ways give the same types and the same values, to the last bit: sums are over integers or decimals only, and
+averages add their few values from the oldest on, as a window does.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from faultline.operators.staging import null_safe, stage
 
 # Largest group that one window task is asked to sort; also the size of a run.
 HOT_ROWS = 20_000_000
+# The same where there are no keys, so that nothing else would spread the rows.
+UNKEYED_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -63,18 +68,29 @@ def ordered_features(
     features: Sequence[Feature],
     *,
     unique: bool = False,
+    staged: bool = False,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the features to ``df``.
 
-    ``unique`` states that (keys, order) never repeats; otherwise equal rows get a frozen
-    tie-break before the rows are cut into runs.
+    ``unique`` states that (keys, order) never repeats, ``staged`` that ``df`` is a staged frame already; otherwise equal rows get a frozen
+    tie-break before the rows are cut into runs. Sums of floating-point columns depend on the order of
+    addition and are refused; cast them to a decimal type.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    types = dict(df.dtypes)
+    inexact = [f.source for f in features if f.kind in ("running", "key_sum") and types[f.source] in ("float", "double")]
+    if inexact:
+        raise TypeError(f"sums of {', '.join(inexact)}: cast floating-point columns to decimal first")
+    kept = df.columns
+    rows = df if unique else df.withColumn("_copy", F.monotonically_increasing_id())
+    rows = rows if staged and unique else stage(rows)
+    order = list(order) if unique else [*order, F.col("_copy")]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    if (largest or 0) <= hot_rows:
-        return _in_plain_windows(df, keys, order, features)
-    return _in_runs(df, keys, order, features, unique, math.ceil(total / hot_rows))
+    plain = _in_plain_windows(rows, keys, order, features)
+    if (largest or 0) > (hot_rows if keys else min(hot_rows, UNKEYED_ROWS)):
+        plain = _in_runs(rows, keys, order, features, plain.schema, math.ceil(total / hot_rows))
+    return plain.select(*kept, *[f.name for f in features])
 
 
 def _in_plain_windows(df, keys, order, features):
@@ -100,14 +116,16 @@ def _null_aware_add(a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
 
 
-def _in_runs(df, keys, order, features, unique, least_runs):
-    spark = df.sparkSession
-    kept = df.columns
-    order = list(order)
-    if not unique:
-        df = stage(df.withColumn("_copy", F.monotonically_increasing_id()))
-        order.append(F.col("_copy"))
-    runs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), least_runs + 1)
+def _average(values: Sequence[Column], present: Column, kind: T.DataType) -> Column:
+    """Sum by count as ``avg`` takes them: decimals as decimals, anything else as doubles."""
+    exact = isinstance(kind, T.DecimalType)
+    wide = T.DecimalType(min(kind.precision + 10, 38), kind.scale) if exact else T.DoubleType()
+    filled = reduce(lambda a, b: (a + b).cast(wide), [F.coalesce(v.cast(wide), F.lit(0).cast(wide)) for v in values])
+    return F.try_divide(filled, present.cast("decimal(20,0)") if exact else present)
+
+
+def _in_runs(df, keys, order, features, schema, least_runs):
+    runs = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least_runs + 1)
     cut = stage(
         df.repartitionByRange(runs, *[F.col(k) for k in keys], *order).withColumn("_run", F.spark_partition_id())
     )
@@ -172,14 +190,14 @@ def _in_runs(df, keys, order, features, unique, least_runs):
         elif f.kind == "previous":
             columns[f.name] = back(f.source, f.rows)
         elif f.kind == "moving":
-            values = [F.col(f.source), *[back(f.source, j) for j in range(1, f.rows + 1)]]
-            filled = reduce(lambda a, b: a + b, [F.coalesce(v.cast("double"), F.lit(0.0)) for v in values])
+            # Oldest first, as a window adds them.
+            values = [*[back(f.source, j) for j in range(f.rows, 0, -1)], F.col(f.source)]
             present = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
-            columns[f.name] = F.try_divide(filled, present)
+            columns[f.name] = _average(values, present, schema[f.source].dataType)
         elif f.kind == "running":
             columns[f.name] = _null_aware_add(F.col(f"_upto_{f.source}"), F.col(f"_sum_before_{f.source}"))
         else:
             columns[f.name] = F.when(F.col("_runs").isNotNull(), F.col(f"_sum_key_{f.source}")).otherwise(
                 F.sum(f.source).over(whole)
             )
-    return joined.withColumns(columns).select(*kept, *[f.name for f in features])
+    return joined.withColumns({name: c.cast(schema[name].dataType) for name, c in columns.items()})

@@ -45,6 +45,7 @@ def value_ranks(
         sort_by(f"-{value}"),
         [running_sum("_upto", "_n"), key_sum("_all", "_n")],
         unique=True,
+        staged=True,
         hot_rows=hot_rows,
     )
     above = F.col("_upto") - F.col("_n")
@@ -93,11 +94,20 @@ def tail(df: DataFrame, k: int, *order: str) -> DataFrame:
     return df.orderBy(*_reverse(*order)).limit(k).orderBy(*sort_by(*order))
 
 
+def _measured_keys(df: DataFrame, key: str, measure: Column | None) -> DataFrame:
+    measure = F.count(F.lit(1)) if measure is None else measure
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(measure.alias("_m"))
+
+
 def top_keys(df: DataFrame, key: str, k: int, measure: Column | None = None) -> DataFrame:
     """The k keys with the largest measure (row count unless given); missing keys do not compete."""
-    measure = F.count(F.lit(1)) if measure is None else measure
-    measured = df.filter(F.col(key).isNotNull()).groupBy(key).agg(measure.alias("_m"))
-    return nlargest(measured, k, "_m", key).select(key)
+    return nlargest(_measured_keys(df, key, measure), k, "_m", key).select(key)
+
+
+def place_top_keys(df: DataFrame, key: str, k: int, measure: Column | None = None) -> DataFrame:
+    """The top keys with their PLACE from 1; the k rows that are numbered come from one top-k."""
+    top = nlargest(_measured_keys(df, key, measure), k, "_m", key)
+    return top.select(key, F.row_number().over(Window.orderBy(*sort_by("-_m", key))).alias("PLACE"))
 
 
 def keep_top_keys(df: DataFrame, key: str, k: int, measure: Column | None = None) -> DataFrame:

@@ -1,50 +1,33 @@
 """Staged frames and size-checked joins.
 
-A staged frame is written to the session's reliable checkpoint folder. That cuts lineage,
-freezes any partition-dependent column, and survives the loss of executors.
+A staged frame is a parquet table in the shared folder. That cuts lineage, freezes any
+partition-dependent column, survives the loss of executors, and tells the planner its size.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, functions as F
 
-# A side is broadcast only when it was measured and is within both limits.
+from faultline.operators.shared import written
+
+# A side is broadcast only when it was measured and is within both limits. Both give the same rows; only the plan differs.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="faultline-checkpoint-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-
 def stage(df: DataFrame) -> DataFrame:
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df, "staged")
 
 
 def stage_all(*frames: DataFrame) -> list[DataFrame]:
-    """Independent frames staged by jobs that run side by side."""
-    _ensure_checkpoint_dir(frames[0].sparkSession)
+    """Independent frames staged by jobs that run side by side, in the caller's job group and scheduler pool."""
     with ThreadPoolExecutor(len(frames)) as pool:
-        return list(pool.map(stage, frames))
+        return list(pool.map(inheritable_thread_target(frames[0].sparkSession)(stage), frames))
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:

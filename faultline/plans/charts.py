@@ -42,6 +42,7 @@ from faultline.operators.ranking import (
     first_per_key,
     keep_top_keys,
     nlargest,
+    place_top_keys,
     sort_by,
     tail,
     topk,
@@ -67,6 +68,23 @@ MAKE_COLORS = {
 }
 
 
+# Colours of the first five makes by place, and of the risk tiers, grey for any other.
+PLACE_COLORS = ["#e94560", "#f5a623", "#00d2d3", "#a29bfe", "#55efc4"]
+TIER_COLORS = {"HIGH RISK": "#e94560", "MODERATE RISK": "#f5a623", "LOW RISK": "#55efc4"}
+OTHER_COLOR = "gray"
+
+
+def _by_place(df: DataFrame, ranked: DataFrame, measure: Column | None = None) -> DataFrame:
+    """``df`` with the colour of its make's place among the makes of ``ranked``."""
+    places = place_top_keys(ranked, "MAKE", len(PLACE_COLORS), measure)
+    color = F.get(F.array(*map(F.lit, PLACE_COLORS)), F.col("PLACE") - 1)
+    return df.join(F.broadcast(places.select("MAKE", color.alias("COLOR"))), "MAKE")  # as many rows as colours
+
+
+def _tier_color(tier: str) -> Column:
+    return F.coalesce(map_values(F.col(tier), TIER_COLORS), F.lit(OTHER_COLOR))
+
+
 def _present(df: DataFrame, *names: str) -> DataFrame:
     return df.na.drop(subset=list(names))
 
@@ -110,12 +128,12 @@ def _trend_of_top_makes(t: Tables) -> DataFrame:
 
 def plot_q02b(t: Tables) -> DataFrame:
     """Mean three-row average per year of the five largest makes."""
-    return (
+    means = (
         _present(_trend_of_top_makes(t), "ROLLING_3YR_AVG", "MODEL_YR")
         .groupBy("MAKE", "MODEL_YR")
         .agg(F.round(F.avg("ROLLING_3YR_AVG"), 4).alias("ROLLING_AVG"))
-        .orderBy("MAKE", "MODEL_YR")
     )
+    return _by_place(means, reports.rated(t)).orderBy("MAKE", "MODEL_YR")
 
 
 def plot_q02c(t: Tables) -> DataFrame:
@@ -129,12 +147,12 @@ def plot_q02c(t: Tables) -> DataFrame:
 
 def plot_q02d(t: Tables) -> DataFrame:
     """Cumulative high ratings per year of the five largest makes."""
-    return (
+    highs = (
         _present(_trend_of_top_makes(t), "MODEL_YR")
         .groupBy("MAKE", "MODEL_YR")
         .agg(F.max("CUMULATIVE_HIGH_RATINGS").alias("CUMULATIVE_HIGH_RATINGS"))
-        .orderBy("MAKE", "MODEL_YR")
     )
+    return _by_place(highs, reports.rated(t)).orderBy("MAKE", "MODEL_YR")
 
 
 def plot_q02e(t: Tables) -> DataFrame:
@@ -169,7 +187,7 @@ def plot_q04(t: Tables, last_year: float = 2026) -> DataFrame:
         "MAKE", to_numeric(F.col("MODEL_YEAR")).alias("MODEL_YEAR"), "RANK_IN_YEAR", "COMPLAINTS"
     )
     proper = yearly.filter(F.col("MODEL_YEAR") <= last_year)
-    return keep_top_keys(proper, "MAKE", 5, F.sum("COMPLAINTS")).orderBy("MAKE", "MODEL_YEAR")
+    return _by_place(proper, proper, F.sum("COMPLAINTS")).orderBy("MAKE", "MODEL_YEAR")
 
 
 def plot_q05a(t: Tables) -> DataFrame:
@@ -483,10 +501,13 @@ def _risk_card(t: Tables, thresholds: Mapping[str, float]) -> DataFrame:
 def plot_q17a(t: Tables, thresholds: Mapping[str, float] | None = None) -> DataFrame:
     """Fifteen makes with the largest severe share."""
     top = nlargest(_risk_card(t, thresholds or {}), 15, "SEVERE_RECALL_PCT", "VEHICLE_MAKE")
-    return top.select("VEHICLE_MAKE", "SEVERE_RECALL_PCT", "INVESTMENT_RISK_TIER", "RISK_TIER")
+    return top.select(
+        "VEHICLE_MAKE", "SEVERE_RECALL_PCT", "INVESTMENT_RISK_TIER", "RISK_TIER", _tier_color("RISK_TIER").alias("COLOR")
+    )
 
 
 def plot_q17b(t: Tables, thresholds: Mapping[str, float] | None = None) -> DataFrame:
     """How many makes fall into each tier, and their share."""
     shares = value_share(_risk_card(t, thresholds or {}).select("RISK_TIER"), "RISK_TIER")
-    return shares.withColumn("SHARE_LABEL", percent_text(F.col("SHARE") * 100, 0)).orderBy(*sort_by("-N", "RISK_TIER"))
+    shares = shares.withColumns({"SHARE_LABEL": percent_text(F.col("SHARE") * 100, 0), "COLOR": _tier_color("RISK_TIER")})
+    return shares.orderBy(*sort_by("-N", "RISK_TIER"))

@@ -1,11 +1,13 @@
-"""Linear and logistic models on MLlib, with their metrics as long frames."""
+"""Linear models on MLlib, logistic ones by Newton steps, with their metrics as long frames."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,6 +26,17 @@ DEATH_FEATURES = ["TOTAL_COMPLAINTS", "CRASH_COUNT", "FIRE_COUNT", "TOTAL_INJURI
 # First two hex digits of the key's md5 below this go to training: 179 of 256, about 70 %.
 TRAIN_BELOW = "b3"
 
+# Newton's method stops when a step moves no weight by more than this share of the largest, or after so many passes.
+SMALLEST_STEP = 1e-9
+MOST_PASSES = 100
+SIGNIFICANT = 4  # digits of logistic coefficients that are reported
+
+# Names of the classes, and the names and colours of the bars of the recall model.
+RECALL_CLASSES = ("Low Recalls", "High Recalls")
+DEATH_CLASSES = ("Low Deaths", "High Deaths")
+BAR_NAMES = ("Complaint Count", "Injuries", "Deaths")
+FALLING, RISING = "#e94560", "#55efc4"
+
 
 @dataclass(frozen=True)
 class Fitted:
@@ -33,6 +46,7 @@ class Fitted:
     intercept: float
     train: DataFrame
     scored: DataFrame  # test rows with label and prediction
+    significant: int | None = None  # digits of coefficients that are reported; six decimals if not given
 
 
 def in_training(*key: str) -> Column:
@@ -52,14 +66,14 @@ _CAR_KEYS = ["MAKE", "MODEL", "MODEL_YEAR"]
 
 
 def injuries_frame(t: Tables) -> DataFrame:
-    frame = reports.q18(t)
+    frame = reports.rated_car_complaints(t)
     return model_frame(frame, _CAR_KEYS, CAR_FEATURES, "TOTAL_INJURIES", "TOTAL_DEATHS").withColumn(
         "LABEL", F.col("TOTAL_INJURIES")
     )
 
 
 def deaths_frame(t: Tables) -> DataFrame:
-    frame = reports.q06(t)
+    frame = reports.rated_car_complaints(t)
     return model_frame(frame, _CAR_KEYS, CAR_FEATURES, "TOTAL_DEATHS").withColumn("LABEL", F.col("TOTAL_DEATHS"))
 
 
@@ -70,7 +84,7 @@ def with_high_flag(frame: DataFrame, measure: str) -> DataFrame:
 
 
 def recalls_frame(t: Tables) -> DataFrame:
-    frame = model_frame(reports.q19(t), ["MAKE"], RECALL_FEATURES, "RELATED_RECALLS")
+    frame = model_frame(reports.make_recall_links(t), ["MAKE"], RECALL_FEATURES, "RELATED_RECALLS")
     return with_high_flag(stage(frame), "RELATED_RECALLS")
 
 
@@ -79,35 +93,63 @@ def make_deaths_frame(t: Tables) -> DataFrame:
     return with_high_flag(stage(frame), "TOTAL_DEATHS")
 
 
-def _assemble(frame: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows with a feature vector, staged once because fitting reads them again and again."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(stage(frame))
-    return rows.filter("TRAIN"), rows.filter("NOT TRAIN")
-
-
 def fit_linear(name: str, frame: DataFrame, features: Sequence[str]) -> Fitted:
-    train, test = _assemble(frame, features)
+    """Least squares by the normal equations, one pass over the staged training rows."""
+    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(stage(frame))
+    train, test = rows.filter("TRAIN"), rows.filter("NOT TRAIN")
     model = LinearRegression(labelCol="LABEL", solver="normal", regParam=0.0).fit(train)
     scored = model.transform(test).select("LABEL", F.col("prediction").alias("PREDICTION"))
     return Fitted(name, features, model.coefficients.toArray().tolist(), float(model.intercept), train, scored)
 
 
+def _score(weights: Sequence[float], inputs: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [F.lit(float(w)) * x for w, x in zip(weights, inputs)])
+
+
 def fit_logistic(name: str, frame: DataFrame, features: Sequence[str]) -> Fitted:
-    """L2 with weight 1 per training row count and a free intercept, features unscaled."""
-    train, test = _assemble(frame, features)
-    rows = max(train.count(), 1)
-    estimator = LogisticRegression(
-        labelCol="LABEL",
-        family="binomial",
-        regParam=1.0 / rows,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=1000,
-        tol=1e-10,
-    )
-    model = estimator.fit(train)
-    scored = model.transform(test).select("LABEL", F.col("prediction").alias("PREDICTION"))
-    return Fitted(name, features, model.coefficients.toArray().tolist(), float(model.intercept), train, scored)
+    """The unique minimum of the log loss plus half the squared coefficients, intercept free, features unscaled.
+
+    Newton steps: each pass sums loss, gradient and Hessian of the staged training rows in one small aggregate.
+    Features are divided by their largest training value, and the penalty with them, so the system stays
+    well-conditioned and the minimum the same. A step that would raise the loss is halved.
+    """
+    train, test = frame.filter("TRAIN"), frame.filter("NOT TRAIN")
+    bounds = train.agg(*[F.max(F.abs(F.col(f))).alias(f) for f in features]).first()
+    scale = np.array([1.0, *[bounds[f] or 1.0 for f in features]])
+    penalty = np.array([0.0, *(1.0 / scale[1:] ** 2)])
+    inputs = [F.lit(1.0), *[F.col(f) / F.lit(float(m)) for f, m in zip(features, scale[1:])]]
+    upper = [(i, j) for i in range(len(inputs)) for j in range(i, len(inputs))]
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = _score(w, inputs)
+        p = 1 / (1 + F.exp(-z))
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("LABEL") * z
+        columns = [loss, *[(p - F.col("LABEL")) * x for x in inputs], *[p * (1 - p) * inputs[i] * inputs[j] for i, j in upper]]
+        row = np.array(train.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first(), dtype=float)
+        hessian = np.zeros((len(inputs), len(inputs)))
+        for (i, j), v in zip(upper, row[1 + len(inputs) :]):
+            hessian[i, j] = hessian[j, i] = v
+        gradient = row[1 : 1 + len(inputs)] + penalty * w
+        return float(row[0] + (penalty * w * w).sum() / 2), gradient, hessian + np.diag(penalty)
+
+    w, size = np.zeros(len(inputs)), 1.0
+    loss, gradient, hessian = sums(w)
+    for _ in range(MOST_PASSES):
+        step = size * np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+        if np.abs(step).max() <= SMALLEST_STEP * np.abs(w).max():
+            break
+        tried = w - step
+        found = sums(tried)
+        if found[0] > loss + 1e-12 * abs(loss):
+            size /= 2
+            if size < 1e-6:
+                break
+            continue
+        w, (loss, gradient, hessian), size = tried, found, min(1.0, 2 * size)
+    likely = _score(w, inputs) > 0
+    scored = test.select("LABEL", likely.cast("double").alias("PREDICTION"))
+    slopes = w / scale
+    return Fitted(name, features, slopes[1:].tolist(), float(slopes[0]), train, scored, SIGNIFICANT)
 
 
 def ols_injuries(t: Tables) -> Fitted:
@@ -188,8 +230,11 @@ def confusion(scored: DataFrame) -> DataFrame:
     )
 
 
-def classification_report(scored: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class, then macro and weighted means; 0 where undefined."""
+def classification_report(scored: DataFrame, classes: Sequence[str] = ("0", "1")) -> DataFrame:
+    """Precision, recall, F1 and support per class, accuracy, then macro and weighted means; 0 where undefined.
+
+    The accuracy stands in the F1 column, as printed reports have it.
+    """
     label, guess = F.col("LABEL").cast("int"), F.col("PREDICTION").cast("int")
     counts = scored.agg(
         *[F.count_if((label == c) & (guess == c)).alias(f"hit{c}") for c in (0, 1)],
@@ -212,31 +257,33 @@ def classification_report(scored: DataFrame) -> DataFrame:
     s0, s1 = F.col("support0"), F.col("support1")
     macro = [(a + b) / 2 for a, b in zip(low, high)]
     weighted = [ratio(a * s0 + b * s1, s0 + s1) for a, b in zip(low, high)]
+    nothing = F.lit(None).cast("double")
+    accuracy = [nothing, nothing, ratio(F.col("hit0") + F.col("hit1"), s0 + s1)]
     lines = F.array(
-        line("0", low, s0), line("1", high, s1), line("macro avg", macro, s0 + s1), line("weighted avg", weighted, s0 + s1)
-    )
+        line(classes[0], low, s0), line(classes[1], high, s1), line("accuracy", accuracy, s0 + s1),
+        line("macro avg", macro, s0 + s1), line("weighted avg", weighted, s0 + s1),
+    )
     return counts.select(F.explode(lines).alias("l")).select("l.*")
 
 
+def _shown(fitted: Fitted, value: float) -> float:
+    if fitted.significant is None:
+        return float(Decimal(value).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return float(f"{value:.{fitted.significant - 1}e}")
+
+
 def coefficients(fitted: Fitted) -> DataFrame:
     """Coefficient of each feature, also times the feature's spread in training so they compare, and the intercept."""
-    spread = fitted.train.agg(*[F.coalesce(F.stddev_pop(f), F.lit(0.0)).alias(f) for f in fitted.features])
-    lines = [
-        F.struct(
-            F.lit(f).alias("FEATURE"),
-            F.round(F.lit(float(c)), 6).alias("COEFFICIENT"),
-            F.round(F.lit(float(c)) * F.col(f), 6).alias("PER_STDDEV"),
-        )
-        for f, c in zip(fitted.features, fitted.coefficients)
-    ]
-    lines.append(
-        F.struct(
-            F.lit("Intercept").alias("FEATURE"),
-            F.round(F.lit(fitted.intercept), 6).alias("COEFFICIENT"),
-            F.lit(None).cast("double").alias("PER_STDDEV"),
-        )
-    )
-    return spread.select(F.lit(fitted.name).alias("MODEL"), F.explode(F.array(*lines)).alias("l")).select("MODEL", "l.*")
+    spread = fitted.train.agg(*[F.coalesce(F.stddev_pop(f), F.lit(0.0)).alias(f) for f in fitted.features]).first()
+    lines = [(fitted.name, f, _shown(fitted, c), _shown(fitted, c * spread[f])) for f, c in zip(fitted.features, fitted.coefficients)]
+    lines.append((fitted.name, "Intercept", _shown(fitted, fitted.intercept), None))
+    return fitted.train.sparkSession.createDataFrame(lines, "MODEL string, FEATURE string, COEFFICIENT double, PER_STDDEV double")
+
+
+def coefficient_bars(fitted: Fitted, names: Sequence[str] = BAR_NAMES) -> DataFrame:
+    """One bar per feature, coloured by its sign."""
+    bars = [(n, _shown(fitted, c), FALLING if c < 0 else RISING) for n, c in zip(names, fitted.coefficients)]
+    return fitted.train.sparkSession.createDataFrame(bars, "FEATURE string, COEFFICIENT double, COLOR string")
 
 
 def residuals(fitted: Fitted) -> DataFrame:

@@ -102,21 +102,21 @@ SUBJECT_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "plot_q17b": lambda t: charts.plot_q17b(t, TEST_TIERS),
     "plot_q18a": _actual_vs_predicted,
     "plot_q19a": lambda t: models.confusion(models.logit_recalls(t).scored),
-    "plot_q19b": lambda t: models.coefficients(models.logit_recalls(t)),
+    "plot_q19b": lambda t: models.coefficient_bars(models.logit_recalls(t)),
     # models
     "ml_split": _split_counts,
     "ml_frame": _frame_rows,
     "ml_high_flag": _high_flags,
     "ml_reg_metrics": lambda t: models.regression_metrics(_injury_rule_rows(t), "rule"),
     "ml_cls_metrics": lambda t: models.classification_metrics(_recall_rule_rows(t), "rule"),
-    "ml_cls_report": lambda t: models.classification_report(_recall_rule_rows(t)),
+    "ml_cls_report": lambda t: models.classification_report(_recall_rule_rows(t), models.RECALL_CLASSES),
     "ml_confusion": lambda t: models.confusion(_recall_rule_rows(t)),
     "ml_ols_injuries": lambda t: _fitted_metrics(models.ols_injuries(t), True),
     "ml_ols_deaths": lambda t: _fitted_metrics(models.ols_deaths(t), True),
     "ml_logit_recalls": lambda t: _fitted_metrics(models.logit_recalls(t), False),
     "ml_logit_deaths": lambda t: _fitted_metrics(models.logit_deaths(t), False),
-    "ml_logit_recalls_report": lambda t: models.classification_report(models.logit_recalls(t).scored),
-    "ml_logit_deaths_report": lambda t: models.classification_report(models.logit_deaths(t).scored),
+    "ml_logit_recalls_report": lambda t: models.classification_report(models.logit_recalls(t).scored, models.RECALL_CLASSES),
+    "ml_logit_deaths_report": lambda t: models.classification_report(models.logit_deaths(t).scored, models.DEATH_CLASSES),
     "ml_coefs_ols": lambda t: _coefficients(models.ols_injuries(t), models.ols_deaths(t)),
     "ml_coefs": lambda t: _coefficients(
         models.ols_injuries(t), models.ols_deaths(t), models.logit_recalls(t), models.logit_deaths(t)

@@ -166,6 +166,7 @@ def q04(t: Tables, hot_rows: int = HOT_ROWS) -> DataFrame:
         sort_by("MODEL_YEAR"),
         [running_sum("RUNNING_TOTAL_COMPLAINTS", "COMPLAINTS")],
         unique=True,
+        staged=True,
         hot_rows=hot_rows,
     )
     ranked = with_rank(totals, ["MODEL_YEAR"], "COMPLAINTS", "RANK_IN_YEAR", hot_rows=hot_rows)
@@ -201,9 +202,13 @@ def q05_labelled(t: Tables) -> DataFrame:
     return _text_rollup(t, subtotal_label("MAKETXT", ALL_MAKES), subtotal_label("CDESCR", ALL_COMPONENTS))
 
 
+def rated_car_complaints(t: Tables) -> DataFrame:
+    """Complaints of rated cars next to their stars, one row per car and star pair, in no order."""
+    return complaints_with_ratings(t.complaints, t.ratings)
+
+
 def q06(t: Tables) -> DataFrame:
-    """Complaints of rated cars next to their stars, one row per car and star pair."""
-    return complaints_with_ratings(t.complaints, t.ratings).orderBy(
+    return rated_car_complaints(t).orderBy(
         *sort_by("-COMPLAINT_COUNT", "MAKE", "MODEL", "MODEL_YEAR", "OVERALL_STARS", "ROLLOVER_STARS")
     )
 
@@ -233,7 +238,7 @@ def campaign_make_rows(t: Tables) -> DataFrame:
 
     A row leads if it comes first in its campaign by make and source order. The kept row is
     the first by model, so it may be another one. Both are minima of sort structs, which
-    combine map-side; a hot campaign is never sorted.
+    Spark aggregates by sorting and combines map-side, so a hot campaign leaves each map task as one row per make.
     """
     rest = [*(["SRC_LINE"] if "SRC_LINE" in t.recalls.columns else [])]
     rest += ["POTAFF", "COMPNAME", "DO_NOT_DRIVE", "PARK_OUTSIDE"]
@@ -588,7 +593,11 @@ def q18(t: Tables) -> DataFrame:
     return q06(t)
 
 
+def make_recall_links(t: Tables, min_complaints: int = 10) -> DataFrame:
+    """q11 with a lower bar, no limit and no order."""
+    return complaints_to_recalls(_named_complaints(t), t.recalls, min_complaints)
+
+
 def q19(t: Tables, min_complaints: int = 10) -> DataFrame:
-    """Training frame of the recall model: q11 with a lower bar and no limit."""
-    linked = complaints_to_recalls(_named_complaints(t), t.recalls, min_complaints)
-    return linked.orderBy(*sort_by("-COMPLAINT_COUNT", "MAKE"))
+    """Training frame of the recall model."""
+    return make_recall_links(t, min_complaints).orderBy(*sort_by("-COMPLAINT_COUNT", "MAKE"))

@@ -7,7 +7,7 @@ code, which groups before it joins or expands. Ratios are rounded as decimals, h
 
 from __future__ import annotations
 
-from faultline.functions.taxonomy import (
+from oracles.literals import (
     BODY_STYLE_CATEGORIES,
     COMPLAINT_NOISE,
     COMPONENT_GROUPS,
@@ -319,10 +319,13 @@ _add("plot_q02a", "q02", """
 select MODEL_YR, count(*) filter (where STAR_CHANGE > 0) as "Improved",
  count(*) filter (where STAR_CHANGE = 0) as "No Change", count(*) filter (where STAR_CHANGE < 0) as "Declined"
 from q02 where STAR_CHANGE is not null group by all""")
-_add("trend_makes", "rated", "select MAKE from rated group by all order by count(*) desc, MAKE limit 5")
+_PLACED = "['#e94560', '#f5a623', '#00d2d3', '#a29bfe', '#55efc4'][{}]"
+_add("trend_makes", "rated", f"""
+with counted as (select MAKE, row_number() over (order by count(*) desc, MAKE) as place from rated where MAKE is not null group by MAKE)
+select MAKE, {_PLACED.format('place')} as COLOR from counted where place <= 5""")
 _add("plot_q02b", "q02 trend_makes", f"""
-select MAKE, MODEL_YR, {_round('avg(ROLLING_3YR_AVG)', 4)} as ROLLING_AVG
-from q02 semi join trend_makes using (MAKE) group by all""")
+select MAKE, MODEL_YR, {_round('avg(ROLLING_3YR_AVG)', 4)} as ROLLING_AVG, COLOR
+from q02 join trend_makes using (MAKE) group by all""")
 _add("plot_q02c", "q02", f"""
 with tiers as (select MODEL_YR, {_BINS.format('a', 'b', 'c', 'd', x='SAFETY_PERCENTILE')} as tier from q02)
 select MODEL_YR, {_pct("count(*) filter (where tier = 'a')", 'count(*)', 6)} as "Top 25%",
@@ -331,19 +334,19 @@ select MODEL_YR, {_pct("count(*) filter (where tier = 'a')", 'count(*)', 6)} as
  {_pct("count(*) filter (where tier = 'd')", 'count(*)', 6)} as "Bottom 25%"
 from tiers group by all""")
 _add("plot_q02d", "q02 trend_makes", """
-select MAKE, MODEL_YR, max(CUMULATIVE_HIGH_RATINGS) as CUMULATIVE_HIGH_RATINGS
-from q02 semi join trend_makes using (MAKE) group by all""")
+select MAKE, MODEL_YR, max(CUMULATIVE_HIGH_RATINGS) as CUMULATIVE_HIGH_RATINGS, COLOR
+from q02 join trend_makes using (MAKE) group by all""")
 _add("plot_q02e", "q02", "select MODEL_YR, count(*) as RANK1_VEHICLES from q02 where RANK_IN_YEAR = 1 group by all")
 _add("plot_q03", "q03", f"""
 select MAKE, TOTAL_COMPLAINTS, {_thousands('TOTAL_COMPLAINTS')} as BAR_LABEL,
  'Deaths/Complaint: ' || printf('%.4f%%', DEATH_RATE_PER_COMPLAINT) as DEATH_LABEL from q03""")
-_add("plot_q04", "q04", """
+_add("plot_q04", "q04", f"""
 with proper as (
  select MAKE, try_cast(MODEL_YEAR as double) as MODEL_YEAR, RANK_IN_YEAR, COMPLAINTS from q04
  where try_cast(MODEL_YEAR as double) <= 2000),
 leaders as (
- select MAKE from proper where MAKE is not null group by all order by sum(COMPLAINTS) desc, MAKE limit 5)
-select * from proper semi join leaders using (MAKE)""")
+ select MAKE, row_number() over (order by sum(COMPLAINTS) desc, MAKE) as place from proper where MAKE is not null group by MAKE)
+select proper.*, {_PLACED.format('place')} as COLOR from proper join leaders using (MAKE) where place <= 5""")
 _add("plot_q05a", "q05", """
 select MAKE, COMPLAINT_COUNT from q05 where COMPONENT = '-- ALL COMPONENTS --' and MAKE <> '-- ALL MAKES --'
 order by COMPLAINT_COUNT desc, MAKE limit 10""")
@@ -453,11 +456,13 @@ select * replace (substr(VEHICLE_MAKE, 1, 20) as VEHICLE_MAKE),
  trim(if(INVESTMENT_RISK_TIER like '%LOW RISK%', 'LOW RISK', split_part(INVESTMENT_RISK_TIER, '(', 1))) as RISK_TIER
 from q17 where SEVERE_RECALL_PCT is not null""")
 _add("plot_q17a", "risk_card", """
-select VEHICLE_MAKE, SEVERE_RECALL_PCT, INVESTMENT_RISK_TIER, RISK_TIER from risk_card
-order by SEVERE_RECALL_PCT desc, VEHICLE_MAKE limit 15""")
+select VEHICLE_MAKE, SEVERE_RECALL_PCT, INVESTMENT_RISK_TIER, RISK_TIER,
+ case RISK_TIER when 'HIGH RISK' then '#e94560' when 'MODERATE RISK' then '#f5a623' when 'LOW RISK' then '#55efc4' else 'gray' end as COLOR
+from risk_card order by SEVERE_RECALL_PCT desc, VEHICLE_MAKE limit 15""")
 _add("plot_q17b", "risk_card", f"""
 select RISK_TIER, count(*) as N, {_round('count(*) / (select count(*) from risk_card)', 6)} as SHARE,
- printf('%.0f%%', count(*) * 100 / (select count(*) from risk_card)) as SHARE_LABEL
+ printf('%.0f%%', count(*) * 100 / (select count(*) from risk_card)) as SHARE_LABEL,
+ case RISK_TIER when 'HIGH RISK' then '#e94560' when 'MODERATE RISK' then '#f5a623' when 'LOW RISK' then '#55efc4' else 'gray' end as COLOR
 from risk_card group by all""")
 
 # ---------------------------------------------------------------- models: frames, and metrics of a fixed rule
@@ -597,16 +602,17 @@ shared as (select *, {_round(f'N / (select count(*) from {rows})', 6)} as SHARE
 select *, '(' || printf('%.1f%%', SHARE * 100) || ')' as SHARE_LABEL from shared"""
 
 
-def _report(rows: str) -> str:
+def _report(rows: str, classes: tuple[str, str]) -> str:
     return f"""
 with per_class as (
  select c, count(*) filter (where y = c and p = c) as hit, count(*) filter (where p = c) as guessed,
   count(*) filter (where y = c) as support from {rows}, (values (0), (1)) v(c) group by c),
 s as (
- select c, support, coalesce(hit / nullif(guessed, 0), 0) as pr, coalesce(hit / nullif(support, 0), 0) as re,
+ select c, hit, support, coalesce(hit / nullif(guessed, 0), 0) as pr, coalesce(hit / nullif(support, 0), 0) as re,
   coalesce(2 * hit / nullif(guessed + support, 0), 0) as f1 from per_class),
 lines as (
- select cast(c as varchar) as CLASS, pr, re, f1, support from s
+ select ['{classes[0]}', '{classes[1]}'][c + 1] as CLASS, pr, re, f1, support from s
+ union all select 'accuracy', null, null, sum(hit) / sum(support), sum(support) from s
  union all select 'macro avg', avg(pr), avg(re), avg(f1), sum(support) from s
  union all select 'weighted avg', sum(pr * support) / sum(support), sum(re * support) / sum(support),
   sum(f1 * support) / sum(support), sum(support) from s)
@@ -618,7 +624,7 @@ _add("rule_scored", "ml_recall_frame", """
 select y, cast(COMPLAINT_COUNT > 500 as int) as p from ml_recall_frame where not train""")
 _add("ml_cls_metrics", "rule_scored", _accuracy("rule", "rule_scored"))
 _add("ml_confusion", "rule_scored", _confusion("rule_scored"))
-_add("ml_cls_report", "rule_scored", _report("rule_scored"))
+_add("ml_cls_report", "rule_scored", _report("rule_scored", ("Low Recalls", "High Recalls")))
 for _name, _frame, _features in (
     ("recalls", "ml_recall_frame", _RECALL_FEATURES),
     ("deaths", "ml_death_flag_frame", _DEATH_FEATURES),
@@ -628,7 +634,20 @@ for _name, _frame, _features in (
     _add(f"logit_{_name}_scored", f"{_frame} logit_{_name}_model", f"""
 select y, cast(a + {_line} > 0 as int) as p from {_frame}, logit_{_name}_model where not train""")
     _add(f"ml_logit_{_name}", f"logit_{_name}_scored", _accuracy(f"logit_{_name}", f"logit_{_name}_scored"))
-    _add(f"ml_logit_{_name}_report", f"logit_{_name}_scored", _report(f"logit_{_name}_scored"))
+    _add(f"ml_logit_{_name}_report", f"logit_{_name}_scored", _report(f"logit_{_name}_scored", (f"Low {_name.title()}", f"High {_name.title()}")))
+    _slopes = ", ".join(f"b{i}" for i, _ in enumerate(_features, 1))
+    _spreads = ", ".join(f"b{i} * (select stddev_pop({f}) from {_frame} where train)" for i, f in enumerate(_features, 1))
+    _names = ", ".join(_text(f) for f in _features)
+    _add(f"logit_{_name}_coefs", f"{_frame} logit_{_name}_model", f"""
+select 'logit_{_name}' as MODEL, unnest([{_names}, 'Intercept']) as FEATURE,
+ cast(printf('%.3e', unnest([{_slopes}, a])) as double) as COEFFICIENT,
+ cast(printf('%.3e', unnest([{_spreads}, null])) as double) as PER_STDDEV from logit_{_name}_model""")
+_add("ml_coefs", "injuries_coefs deaths_coefs logit_recalls_coefs logit_deaths_coefs", """
+select * from injuries_coefs union all select * from deaths_coefs
+union all select * from logit_recalls_coefs union all select * from logit_deaths_coefs""")
+_add("plot_q19b", "logit_recalls_model", """
+select unnest(['Complaint Count', 'Injuries', 'Deaths']) as FEATURE, cast(printf('%.3e', unnest([b1, b2, b3])) as double) as COEFFICIENT,
+ case when unnest([b1, b2, b3]) < 0 then '#e94560' else '#55efc4' end as COLOR from logit_recalls_model""")
 _add("plot_q19a", "logit_recalls_scored", _confusion("logit_recalls_scored"))
 
 # ---------------------------------------------------------------- single operators
@@ -752,7 +771,7 @@ _HELPERS = {
     "q09_detail", "q10_campaigns", "q10_actions", "actions_per_make", "q10_sizes", "risk_card", "ml_recall_frame",
     "rule_scored", "injury_rule", "deaths_frame",
     *[f"{n}_{part}" for n in ("injuries", "deaths") for part in ("model", "scored", "coefs")],
-    "ml_death_flag_frame", *[f"logit_{n}_{part}" for n in ("recalls", "deaths") for part in ("model", "scored")],
+    "ml_death_flag_frame", *[f"logit_{n}_{part}" for n in ("recalls", "deaths") for part in ("model", "scored", "coefs")],
 }
 
 

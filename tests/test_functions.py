@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import numbers, taxonomy, text
+from oracles import literals
 
 
 def apply(spark, values, kind, *columns):
@@ -19,7 +20,7 @@ def test_years(spark):
     assert apply(spark, values, "string", numbers.to_numeric) == [2010, 2010, 2010.6, 2000, None, None, None, None]
 
 
-@pytest.mark.parametrize("group,parts", taxonomy.COMPONENT_GROUPS.items())
+@pytest.mark.parametrize("group,parts", literals.COMPONENT_GROUPS.items())
 def test_component_rules(spark, group, parts):
     prefix = lambda c: taxonomy.component_group(c, "prefix")
     spelled = [*parts, *[f" {p.lower()} :DETAIL" for p in parts]]
@@ -112,3 +113,11 @@ def test_flags_and_lookups(spark):
     assert apply(spark, ["4DR", "4 DR", "??", None], "string", style) == ["4-Door Sedan", "4-Door Sedan", "??", None]
     assert apply(spark, ["V", "Q", None], "string", taxonomy.recall_type_name) == ["VEHICLE RECALL", "Q", None]
     assert apply(spark, ["a", "b", None], "string", lambda c: taxonomy.not_in(c, ["a"])) == [False, True, True]
+
+
+def test_patterns_read_line_ends_and_case_as_asked(spark):
+    values = ["brakes\rwill fail", "brakes\u2028fail", "brakes\nfail", "BRAKE\x85FAIL", "engine ſ fail"]
+    assert apply(spark, values, "string", taxonomy.consolidate_failures) == [
+        "BRAKE FAILURE", "BRAKE FAILURE", "brakes\nfail", "BRAKE FAILURE", "ENGINE FAILURE",
+    ]
+    assert apply(spark, ["É"], "string", lambda c: taxonomy.matches(c, "(?i)é")) == [True]

@@ -124,3 +124,20 @@ def test_equal_rows_are_sorted_by_several_tasks(spark):
         assert max(r["count"] for r in per_task) < 500
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "decimal(10,2)", "double"])
+def test_both_ways_give_the_same_types_and_bits(spark, kind):
+    rng = random.Random(7)
+    rows = [(rng.choice(["hot", "hot", "hot", "a"]), i, rng.choice([None, *[rng.randint(-999, 999) / 7 for _ in range(9)]])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, id int, v double").withColumn("v", F.col("v").cast(kind)).repartition(4)
+    features = [f for f in FEATURES if kind != "double" or f.kind not in ("running", "key_sum")]
+    plain, cut = (ordered_features(df, ["k"], sort_by("id"), features, unique=True, hot_rows=n) for n in (10_000, 20))
+    assert plain.dtypes == cut.dtypes
+    assert sorted(map(tuple, plain.collect()), key=lambda r: r[1]) == sorted(map(tuple, cut.collect()), key=lambda r: r[1])
+
+
+def test_sums_of_floating_point_are_refused(spark):
+    df = spark.createDataFrame([("a", 1, 0.1)], "k string, id int, v double")
+    with pytest.raises(TypeError, match="decimal"):
+        ordered_features(df, ["k"], sort_by("id"), [running_sum("s", "v")])

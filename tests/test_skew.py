@@ -71,7 +71,10 @@ def statements(skewed, monkeypatch):
 @pytest.mark.parametrize("path", ["runs", "shuffled sides"])
 def test_rows_match(spark, skewed, statements, monkeypatch, name, path):
     if path == "runs":
-        monkeypatch.setattr(ordered, "_in_plain_windows", lambda df, k, o, f: ordered._in_runs(df, k, o, f, False, 4))
+        plain = ordered._in_plain_windows
+        monkeypatch.setattr(
+            ordered, "_in_plain_windows", lambda df, k, o, f: ordered._in_runs(df, k, o, f, plain(df, k, o, f).schema, 4)
+        )
     else:
         monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -93,3 +96,22 @@ def test_semi_join_is_below_or_above_the_grouping(spark, skewed, monkeypatch):
         assert above()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_campaign_of_pairs_is_split(spark, skewed):
+    """q10 is the one report whose result is pairs; its hot campaign is split by the adaptive skew join."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = reports.q10(skewed[1])
+        pairs.collect()
+        assert "skew=true" in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
