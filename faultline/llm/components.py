@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round each label moves to its smallest neighbouring label, then follows that label's own
     move; edges inside one label are dropped. No group is ever gathered: a hot node costs one
-    map-side minimum. Nodes of equal label move
-    together, so when no edge is left, all of a component carry its smallest node. Rounds are written to the
+    map-side minimum. Nodes and edges stay connected
+    through labels, which only fall, so they end at each component's smallest node. Rounds are written to the
     shared folder. Edges with a null end are ignored.
     """
     edges = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
@@ -28,8 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
         between = edges.join(of, "a").join(to, "b").where("la <> lb")
         edges = written(between.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
         if edges.isEmpty():
-            return labels
+            break
         labels = written(_jump(_moves(edges, labels)), "labels")
+    # Labels now lead to their component's smallest node, maybe by way of other labels: follow them to the end.
+    while not _up(labels).where("label <> up").isEmpty():
+        labels = written(_jump(labels), "labels")
+    return labels
 
 
 def _moves(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -38,6 +42,10 @@ def _moves(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(least, "label", "left").select("node", F.least("label", "to").alias("label"))
 
 
+def _up(labels: DataFrame) -> DataFrame:
+    """Labels (node, label) with ``up``, the label of the label."""
+    return labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
+
+
 def _jump(labels: DataFrame) -> DataFrame:
-    up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-    return labels.join(up, "label", "left").select("node", F.least("label", "up").alias("label"))
+    return _up(labels).select("node", F.least("label", "up").alias("label"))
