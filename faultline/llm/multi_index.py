@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 CENTROIDS = 32  # of each half
 SAMPLE = 20_000  # vectors to fit on, at most
 TRIALS = 200  # of them used as queries to choose the share
-RECALL = 0.95
+RECALL = 0.98
 ROUNDS = 12
 CHUNK = 8192  # vectors of a shelf that a task holds, on average
 
