@@ -300,20 +300,20 @@ def linked_campaigns(t: Tables) -> DataFrame:
     return firsts.join(known, "CAMPNO", "left_semi")
 
 
-def linked_actions(t: Tables) -> DataFrame:
-    """First q10 row of every investigation: its make comes from the largest linked campaign."""
-    firsts = first_per_key(
-        t.recalls.filter(F.col("CAMPNO").isNotNull()).select("CAMPNO", "MAKETXT", "POTAFF"),
-        ["CAMPNO"],
-        sort_by("-POTAFF", "MAKETXT"),
-    )
+def linked_actions(t: Tables, campaigns: DataFrame | None = None) -> DataFrame:
+    """First q10 row of every investigation: its make comes from the largest linked campaign.
+
+    ``campaigns`` are the linked campaigns, if the caller has them already.
+    """
+    firsts = linked_campaigns(t) if campaigns is None else campaigns
     links = t.investigations.filter(F.col("CAMPNO").isNotNull()).select("CAMPNO", "ACTION_NUMBER").distinct()
-    return first_per_key(links.join(firsts, "CAMPNO"), ["ACTION_NUMBER"], sort_by(*_RECALL_ORDER))
+    joined = links.join(firsts.select("CAMPNO", "MAKETXT", "POTAFF"), "CAMPNO")
+    return first_per_key(joined, ["ACTION_NUMBER"], sort_by(*_RECALL_ORDER))
 
 
-def _actions_per_make(t: Tables) -> DataFrame:
+def _actions_per_make(t: Tables, campaigns: DataFrame | None = None) -> DataFrame:
     return (
-        _present(linked_actions(t), "MAKETXT")
+        _present(linked_actions(t, campaigns), "MAKETXT")
         .groupBy(F.col("MAKETXT").alias("MAKE"))
         .agg(F.countDistinct("ACTION_NUMBER").alias("INVESTIGATIONS"))
     )
@@ -340,14 +340,11 @@ def plot_q10b(t: Tables) -> DataFrame:
 
 def plot_q10c(t: Tables) -> DataFrame:
     """Ten makes with the most linked campaigns, next to their investigations (0 if none)."""
-    campaigns = (
-        _present(linked_campaigns(t), "MAKETXT")
-        .groupBy(F.col("MAKETXT").alias("MAKE"))
-        .agg(F.countDistinct("CAMPNO").alias("RECALLS"))
-    )
+    linked = stage(linked_campaigns(t))  # one row per campaign, used twice
+    campaigns = _present(linked, "MAKETXT").groupBy(F.col("MAKETXT").alias("MAKE")).agg(F.countDistinct("CAMPNO").alias("RECALLS"))
     top = nlargest(campaigns, 10, "RECALLS", "MAKE")
     return (
-        top.join(_actions_per_make(t), "MAKE", "left")
+        top.join(_actions_per_make(t, linked), "MAKE", "left")
         .na.fill(0, subset=["INVESTIGATIONS"])
         .orderBy(*sort_by("-RECALLS", "MAKE"))
     )
