@@ -67,7 +67,8 @@ def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "<|im_end|><|im_start|>assistant ok"
-    own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(text).alias("text"))
     return chat_events.formatted_digests(turns.unionByName(own))
 
 
