@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -26,13 +25,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from faultline.llm.words import coded, slices, split_words
 from faultline.operators.shared import written
 
-POSITIVES = 8_000  # confirmed toxic texts used for training, at most
-UNLABELLED = 24_000  # unlabelled texts used for training, at most
+POSITIVES = 4_000  # confirmed toxic texts used for training, at most
+UNLABELLED = 16_000  # unlabelled texts used for training, at most
 CLASSIFIERS = 4  # at most; one for each PER_CLASSIFIER positives
 PER_CLASSIFIER = 1_000
 FEATURES = 20_000  # of a classifier, at most: the most significant ones
 LEAST_Z = 5.0  # standard errors between a feature's shares of toxic and of unlabelled texts
-LEAST_TEXTS = 3  # toxic texts that hold it
+LEAST_TEXTS = 3  # toxic texts that hold it, or one in RARE if that is more: near copies share their rare words
+RARE = 200
+SLICE_BYTES = 4 << 20
 BEGINNING = 5  # characters of a word's beginning
 ROUNDS = 300
 RATE = 0.1
@@ -94,7 +95,7 @@ def _significant(p_found: np.ndarray, u_found: np.ndarray, n_p: int, n_u: int) -
     in_u = np.where(others[place] == slots, counts[place], 0) if len(others) else np.zeros_like(in_p)
     share = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share) * (1 / n_p + 1 / n_u), 1e-12))
-    z[(z < LEAST_Z) | (in_p < LEAST_TEXTS)] = 0
+    z[(z < LEAST_Z) | (in_p < max(LEAST_TEXTS, n_p // RARE))] = 0
     best = np.argsort(-z, kind="stable")[:FEATURES]
     return np.sort(slots[best[z[best] > 0]])
 
@@ -107,10 +108,20 @@ def _placed(slots: np.ndarray, starts: np.ndarray, found: np.ndarray) -> tuple[n
     return np.concatenate([[0], np.cumsum(hit)])[starts], place[hit]
 
 
+def _all_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of many texts, slice by slice, as 32-bit slots."""
+    starts, found = [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
+    for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", 2 << 20):
+        begins, own = features(part.column("text"))
+        starts.append(begins[1:] + starts[-1][-1])
+        found.append(own.astype(np.uint32))
+    return np.concatenate(starts), np.concatenate(found)
+
+
 def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, rounds: int = ROUNDS) -> Model:
     """One classifier by Adam on the non-negative risk with logistic loss."""
-    p_starts, p_found = features(positive)
-    u_starts, u_found = features(unlabelled)
+    p_starts, p_found = _all_features(positive)
+    u_starts, u_found = _all_features(unlabelled)
     n_p, n_u = len(positive), len(unlabelled)
     slots = _significant(p_found, u_found, n_p, n_u)
     n = len(slots)
@@ -138,7 +149,7 @@ def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, rounds: int = RO
         weights -= move[:-1]
         # All slots speak for toxicity, so a text without any is no likelier toxic than one unseen.
         bias = min(bias - float(move[-1]), float(np.log(prior / (1 - prior))))
-    return Model(slots, weights, bias)
+    return Model(slots.astype(np.int64), weights, bias)
 
 
 def mean(models: list[Model]) -> Model:
@@ -193,17 +204,20 @@ def train(
         return None
     parts = min(CLASSIFIERS, max(1, n_positive // PER_CLASSIFIER))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        texts = group.drop_duplicates(["positive", "text"])  # copies are one example
-        sides = [pa.array(texts.text[texts.positive == side].tolist(), pa.string()) for side in (True, False)]
+    def one(group: pa.Table) -> pa.Table:
+        sides = []
+        for side in (True, False):
+            own = group.filter(pc.equal(group.column("positive"), side)).column("text")
+            sides.append(pc.unique(own.combine_chunks()) if len(own) else pa.array([], pa.string()))  # copies are one example
+        schema = pa.schema([("bias", pa.float64()), ("slots", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])
         if not len(sides[0]) or not len(sides[1]):
-            return pd.DataFrame({"bias": [], "slots": [], "weights": []})
+            return schema.empty_table()
         model = fit(*sides, prior)
-        return pd.DataFrame({"bias": [model.bias], "slots": [model.slots.tolist()], "weights": [model.weights.tolist()]})
+        return pa.Table.from_pylist([{"bias": model.bias, "slots": model.slots.tolist(), "weights": model.weights.tolist()}], schema)
 
     texts = rows.join(taken, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(80)), F.lit(parts)))
     # At most CLASSIFIERS rows of FEATURES numbers reach the driver.
-    found = texts.groupBy("part").applyInPandas(one, "bias double, slots array<long>, weights array<double>").collect()
+    found = texts.groupBy("part").applyInArrow(one, "bias double, slots array<long>, weights array<double>").collect()
     models = [Model(np.array(r.slots, np.int64), np.array(r.weights), r.bias) for r in found]
     return mean(models) if models else None
 
@@ -223,7 +237,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, SLICE_BYTES):
             starts, found = features(part.column(text_col), known.slots)
             yield part.append_column("score", pa.array(_sigmoid(_sums(known.weights, starts, found) + known.bias)))
 
