@@ -32,7 +32,8 @@ PER_CLASSIFIER = 1_000
 FEATURES = 20_000  # of a classifier, at most: the most significant ones
 LEAST_Z = 5.0  # standard errors between a feature's shares of toxic and of unlabelled texts
 LEAST_TEXTS = 3  # toxic texts that hold it, or one in RARE if that is more: near copies share their rare words
-RARE = 200
+RARE = 50
+LEAST_LIFT = 3.0  # times a feature's share of unlabelled texts; half of what a sure sign reaches if that is less
 SLICE_BYTES = 4 << 20
 BEGINNING = 5  # characters of a word's beginning
 ROUNDS = 300
@@ -86,7 +87,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def _significant(p_found: np.ndarray, u_found: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+def _significant(p_found: np.ndarray, u_found: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
     """Slots that toxic texts hold significantly more often than unlabelled ones, in ascending order."""
     slots, in_p = np.unique(p_found, return_counts=True)
     others, counts = np.unique(u_found, return_counts=True)
@@ -95,7 +96,8 @@ def _significant(p_found: np.ndarray, u_found: np.ndarray, n_p: int, n_u: int) -
     in_u = np.where(others[place] == slots, counts[place], 0) if len(others) else np.zeros_like(in_p)
     share = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share) * (1 / n_p + 1 / n_u), 1e-12))
-    z[(z < LEAST_Z) | (in_p < max(LEAST_TEXTS, n_p // RARE))] = 0
+    weak = in_p / n_p < min(LEAST_LIFT, 0.5 / prior) * in_u / n_u
+    z[weak | (z < LEAST_Z) | (in_p < max(LEAST_TEXTS, n_p // RARE))] = 0
     best = np.argsort(-z, kind="stable")[:FEATURES]
     return np.sort(slots[best[z[best] > 0]])
 
@@ -123,7 +125,7 @@ def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, rounds: int = RO
     p_starts, p_found = _all_features(positive)
     u_starts, u_found = _all_features(unlabelled)
     n_p, n_u = len(positive), len(unlabelled)
-    slots = _significant(p_found, u_found, n_p, n_u)
+    slots = _significant(p_found, u_found, n_p, n_u, prior)
     n = len(slots)
     p_starts, p_found = _placed(slots, p_starts, p_found)
     u_starts, u_found = _placed(slots, u_starts, u_found)
