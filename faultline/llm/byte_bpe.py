@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from faultline.llm.words import coded, slices
 
-SLICE_BYTES = 8 << 20
-KNOWN_PIECES = 400_000  # pieces whose ids a task remembers; beyond that it starts afresh
+SLICE_BYTES = 4 << 20
+AT_ONCE = 16_384  # pieces given to the library at once: each comes back as an object of its own
+KNOWN_PIECES = 200_000  # pieces whose ids a task remembers; beyond that it starts afresh
 
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
@@ -79,8 +80,10 @@ class _Encoder:
         if len(self.known) + len(new) > KNOWN_PIECES:
             self.known = {}
             new = pieces
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, np.int32)
+        for at in range(0, len(new), AT_ONCE):
+            some = new[at : at + AT_ONCE]
+            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[piece] = np.array(found.ids, np.int32)
         return [self.known[p] for p in pieces]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

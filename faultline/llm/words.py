@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
