@@ -24,6 +24,7 @@ from faultline.llm.words import coded, slices
 
 SLICE_BYTES = 4 << 20
 AT_ONCE = 16_384  # pieces given to the library at once: each comes back as an object of its own
+ROWS = 256  # rows decoded at once
 KNOWN_PIECES = 200_000  # pieces whose ids a task remembers; beyond that it starts afresh
 
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -146,13 +147,16 @@ def _decode(path: str, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table = codec(path)
         for batch in batches:
-            raw = [b"".join(map(table.__getitem__, ids or [])) for ids in batch.column(column).to_pylist()]
-            yield batch.append_column("decoded", pa.array(raw, pa.binary()))
+            # A few rows at a time, and one row's ids at a time as Python numbers.
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                raw = [b"".join(map(table.__getitem__, ids.values.tolist() if ids.is_valid else [])) for ids in part.column(column)]
+                yield part.append_column("decoded", pa.array(raw, pa.binary()))
 
     return run
 
 
-def _digests(path: str):
+def _round_trip(path: str, kept: list[str], with_ids: bool):
     """Counts and digests straight from the ids of a slice, without building Python lists of lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +169,12 @@ def _digests(path: str):
                 own = ids[a:b].tolist()
                 out[0].append(hashlib.sha256(b",".join(map(numbers.__getitem__, own))).hexdigest())
                 out[1].append(hashlib.sha256(b"".join(map(encoder.table.__getitem__, own))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(starts).astype(np.int64)), *map(pa.array, out)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [*[part.column(c) for c in kept], pa.array(np.diff(starts).astype(np.int64)), *map(pa.array, out)]
+            names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -201,8 +207,14 @@ def decoded_text(decoded: str = "decoded") -> Column:
     return F.decode(decoded, "UTF-8")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (the
-    bytes that the ids decode to). Null and empty texts have no ids."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the columns to ``keep``, n_tokens, ids_sha256 (decimal ids joined by commas),
+    decoded_sha256 (the bytes that the ids decode to) and, if asked for, ids. Encoding and decoding are one pass.
+    Null and empty texts have no ids."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    kinds = dict(rows.dtypes)
+    kept = [c for c in rows.columns if c != "text"]
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "n_tokens long, ids_sha256 string, decoded_sha256 string"])
+    return rows.mapInArrow(_round_trip(path, kept, with_ids), schema + (", ids array<int>" if with_ids else ""))
