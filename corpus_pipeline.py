@@ -45,11 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's token ids, and the digest of the bytes that they decode to."""
-    ids = byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks_path())
-    decoded = byte_bpe.decode(ids.drop("text"), ranks_path())
-    return decoded.select(
-        "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return byte_bpe.round_trip(docs, ranks_path(), keep=("source",), with_ids=True)
 
 
 STAGES = [
