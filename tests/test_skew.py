@@ -52,7 +52,7 @@ def skewed(spark, tables, tmp_path_factory):
         ),
     }
     for name, df in made.items():
-        df.write.parquet(f"{root}/{name}")
+        df.repartition(8).write.parquet(f"{root}/{name}")  # several map tasks, which a skewed partition is split by
     subject = Tables(**{n: (lambda n=n: spark.read.parquet(f"{root}/{n}")) for n in made})
     assert subject.recalls.groupBy(*subject.recalls.columns).count().agg(F.max("count")).first()[0] > 500
     return root, subject
