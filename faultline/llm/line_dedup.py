@@ -8,22 +8,31 @@ costs one comparison per line, never one per pair, and each comparison is verifi
 
 Only lines that can have a partner emit variants. If two lines are one edit apart, either their first
 halves or their last halves are equal; lines that share no half with any other are left out without loss.
+
+Where long lines may differ in more words, deletions of several words would grow with a power of the line. There,
+a line emits its 4k + 1 smallest hashed four-word grams, k being its bound: k edits change at most 4k grams of either
+line, so the smallest one in common is among these. Lines under a gram are compared in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.llm.words import hashed, mixed, slices, split_lines, split_words
+from faultline.llm.words import hashed, mixed, ngrams, slices, split_lines, split_words
 from faultline.operators.shared import written
 
 MIN_WORDS = 8  # shorter lines are only compared exactly: one word of seven is too much to ignore
+GROWING = (20, 40)  # words of the shorter line from which one more edit is allowed: 2 from 20, 3 from 40
+GRAM = 4  # words of a gram
+BLOCK, BLOCK_WORDS = 256, 1 << 18  # lines, and words, of one gram that a task compares with as many others
 
-_LINES = "array<struct<line:int,h1:long,h2:long,n:int,a1:long,a2:long,a3:long,a4:long>>"
+_LINES = "array<struct<line:int,h1:long,h2:long,n:int,a1:long,a2:long,a3:long,a4:long{}>>"
+_NEAR = "h1 long, h2 long"
 _VARIANTS = "h1 long, h2 long, v1 long, v2 long, pos int"
 # Bases of the two polynomial hashes, and their inverses modulo 2**64.
 _BASES = [0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95 | 1]
@@ -53,38 +62,65 @@ def _tagged(x: np.ndarray, *tags) -> np.ndarray:
     return x
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each text that hold a word: number, hash, word count and the four half keys."""
-    for part in slices(batches, "text"):
-        line_starts, lines = split_lines(part.column("text"))
-        starts, words = split_words(lines)
-        a, b = starts[:-1], starts[1:]
-        n = b - a
-        wide = [hashed(words, seed) for seed in (1, 2)]
-        hashes = []
-        for base, inverse, w in zip(_BASES, _INVERSES, wide, strict=True):
-            prefix, lift = _prefixes(w, starts, base), _powers(inverse, len(w))
-            hashes.append(_tagged(_span(prefix, lift, a, b), n))
-            if len(hashes) == 1:
-                halves = []
-                for short in (n, np.maximum(n - 1, 0)):  # the word count of the shorter line of a pair
-                    half = short // 2
-                    halves.append(_tagged(_span(prefix, lift, a, a + half), short, 1))
-                    halves.append(_tagged(_span(prefix, lift, b - (short - half), b), short, 2))
-        owner = np.repeat(np.arange(part.num_rows), np.diff(line_starts))
-        number = np.arange(len(lines)) - line_starts[:-1][owner]
-        full = n > 0
-        counts = np.bincount(owner[full], minlength=part.num_rows)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        columns = [number[full].astype(np.int32), *[h[full].view(np.int64) for h in hashes], n[full].astype(np.int32)]
-        columns += [h[full].view(np.int64) for h in halves]
-        records = pa.StructArray.from_arrays(
-            [pa.array(c) for c in columns], ["line", "h1", "h2", "n", "a1", "a2", "a3", "a4"]
-        )
-        yield pa.RecordBatch.from_arrays(
-            [*[part.column(c) for c in ("doc_id", "text_key")], pa.ListArray.from_arrays(offsets, records)],
-            ["doc_id", "text_key", "lines"],
-        )
+def _grams(starts: np.ndarray, words: np.ndarray, grow: tuple[int, ...]) -> pa.ListArray:
+    """The smallest hashes of each line's grams, one more than its edits can change. A gram that a line holds several
+    times is hashed with its turn. Lines that may differ in one word only have none."""
+    n = np.diff(starts)
+    begins, grams = ngrams(starts, words, GRAM)
+    owner = np.repeat(np.arange(len(n)), np.diff(begins))
+    long = n[owner] >= grow[0]
+    owner, grams = owner[long], grams[long]
+    order = np.lexsort((grams, owner))
+    owner, grams = owner[order], grams[order]
+    at = np.arange(len(owner))
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])
+    grams = _tagged(grams, at - np.maximum.accumulate(np.where(fresh, at, 0)))
+    grams = grams[np.lexsort((grams, owner))]
+    counts = np.bincount(owner, minlength=len(n))
+    turn = at - (np.cumsum(counts) - counts)[owner]
+    most = np.where(n >= grow[0], GRAM * (1 + np.searchsorted(grow, n, side="right")) + 1, 0)
+    offsets = np.concatenate([[0], np.cumsum(np.minimum(counts, most))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[turn < most[owner]].view(np.int64)))
+
+
+def _read(grow: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lines of each text that hold a word: number, hash, word count the four half keys and, with ``grow``, the grams."""
+        for part in slices(batches, "text"):
+            line_starts, lines = split_lines(part.column("text"))
+            starts, words = split_words(lines)
+            a, b = starts[:-1], starts[1:]
+            n = b - a
+            wide = [hashed(words, seed) for seed in (1, 2)]
+            hashes = []
+            for base, inverse, w in zip(_BASES, _INVERSES, wide, strict=True):
+                prefix, lift = _prefixes(w, starts, base), _powers(inverse, len(w))
+                hashes.append(_tagged(_span(prefix, lift, a, b), n))
+                if len(hashes) == 1:
+                    halves = []
+                    for short in (n, np.maximum(n - 1, 0)):  # the word count of the shorter line of a pair
+                        half = short // 2
+                        halves.append(_tagged(_span(prefix, lift, a, a + half), short, 1))
+                        halves.append(_tagged(_span(prefix, lift, b - (short - half), b), short, 2))
+            owner = np.repeat(np.arange(part.num_rows), np.diff(line_starts))
+            number = np.arange(len(lines)) - line_starts[:-1][owner]
+            full = n > 0
+            counts = np.bincount(owner[full], minlength=part.num_rows)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            columns = [number[full].astype(np.int32), *[h[full].view(np.int64) for h in hashes], n[full].astype(np.int32)]
+            columns += [h[full].view(np.int64) for h in halves]
+            arrays, names = [pa.array(c) for c in columns], ["line", "h1", "h2", "n", "a1", "a2", "a3", "a4"]
+            if grow:
+                arrays.append(_grams(starts, wide[0], grow).filter(pa.array(full)))
+                names.append("grams")
+            records = pa.StructArray.from_arrays(arrays, names)
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in ("doc_id", "text_key")], pa.ListArray.from_arrays(offsets, records)],
+                ["doc_id", "text_key", "lines"],
+            )
+
+    return run
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,22 +164,125 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (F.greatest(F.size(a), F.size(b)) - F.least(head + tail, short) <= 1) & (F.abs(F.size(a) - F.size(b)) <= 1)
 
 
-def read_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, lines), written once: the hashes of every line that holds a word."""
+def _within(a: list, b: list, most: int) -> bool:
+    """Whether ``most`` words inserted, deleted or replaced turn one into the other: the furthest place on each
+    diagonal, edit by edit."""
+    goal = len(b) - len(a)
+
+    def slide(i: int, d: int) -> int:
+        while i < len(a) and i + d < len(b) and a[i] == b[i + d]:
+            i += 1
+        return i
+
+    far = {0: slide(0, 0)}
+    for _ in range(most):
+        if far.get(goal) == len(a):
+            return True
+        step = {}
+        for d in range(min(far) - 1, max(far) + 2):
+            i = max(far.get(d, -2) + 1, far.get(d - 1, -1), far.get(d + 1, -2) + 1)
+            i = min(i, len(a), len(b) - d)
+            if i >= 0 and i + d >= 0:
+                step[d] = slide(i, d)
+        far = step
+    return far.get(goal) == len(a)
+
+
+def _closer(grow: tuple[int, ...]):
+    """The open lines of each pair of blocks that an earlier line of it is near to."""
+
+    def bound(n: int) -> int:
+        return 1 + sum(n >= least for least in grow)
+
+    def rows(batches):
+        for batch in batches:
+            for part in slices([batch], "line"):
+                yield from part.to_pylist()
+
+    def near(group: list[dict], across: bool):
+        codes: dict = {}
+        for r in group:
+            r["words"] = [codes.setdefault(w, len(codes)) for w in r["line"].split(" ")]
+            turns: dict = {}
+            r["bag"] = set()
+            for w in r["words"]:
+                turns[w] = turns.get(w, -1) + 1
+                r["bag"].add((w, turns[w]))
+        for late in group:
+            if not late["open"]:
+                continue
+            for early in group:
+                if early["place"] >= late["place"] or (across and early["own"] == late["own"]):
+                    continue
+                n, wide = sorted((len(early["words"]), len(late["words"])))
+                most = bound(n)
+                if most == 1 or wide - n > most or len(early["bag"] & late["bag"]) < wide - most:
+                    continue
+                if _within(early["words"], late["words"], most):
+                    yield late["h1"], late["h2"]
+                    break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (_, x, y), group in groupby(rows(batches), lambda r: (r["gram"], r["x"], r["y"])):
+            out += near(list(group), x != y)
+            if len(out) > 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["h1", "h2"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["h1", "h2"])
+
+    return run
+
+
+def _by_gram(keyed: DataFrame, lines: DataFrame, near: DataFrame, grow: tuple[int, ...]) -> DataFrame:
+    """(h1, h2) of further lines that are near an earlier one, of ``keyed`` (gram, h1, h2)."""
+    rows = keyed.join(lines.select("h1", "h2", "place", "words"), ["h1", "h2"])
+    rows = rows.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").withColumn("open", F.col("near").isNull())
+    rows = rows.select("gram", "h1", "h2", "place", "open", F.size("words").alias("n"), F.array_join("words", " ").alias("line"))
+    rows = written(rows, "gram-lines")
+    sizes = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("all"), F.max("open").alias("any"))
+    blocks = F.ceil(F.greatest(F.col("lines") / BLOCK, F.col("all") / BLOCK_WORDS)).cast("long")
+    sizes = sizes.where("lines > 1 and any").select("gram", blocks.alias("blocks"))
+    cut = rows.join(sizes, "gram").withColumn("own", F.pmod(F.xxhash64("h2"), "blocks"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cut = cut.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("n", "blocks", "other")
+    cut = cut.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y", "place")
+    return cut.mapInArrow(_closer(grow), _NEAR).distinct()
+
+
+def read_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grow: tuple[int, ...] = ()
+) -> DataFrame:
+    """(doc_id, text_key, lines), written once: the hashes of every line that holds a word. ``grow`` as for
+    ``duplicate_lines``."""
+    for k, least in enumerate(grow, 2):
+        if least < GRAM * (k + 1):
+            raise ValueError(f"{k} edits of {least} words may leave no gram in common")
+    if list(grow) != sorted(grow):
+        raise ValueError("the word counts of grow must rise")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")
     )
-    return written(rows.mapInArrow(_read, f"doc_id long, text_key long, lines {_LINES}"), "lines")
+    schema = _LINES.format(",grams:array<long>" if grow else "")
+    return written(rows.mapInArrow(_read(tuple(grow)), f"doc_id long, text_key long, lines {schema}"), "lines")
 
 
 def duplicate_lines(
-    docs: DataFrame, read: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
+    docs: DataFrame,
+    read: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    grow: tuple[int, ...] = (),
 ) -> DataFrame:
     """(doc_id, text_key, n_lines, n_exact, n_near, dropped): the lines that an earlier one makes superfluous.
 
     Lines are compared as sequences of words. A line without a word stays. Of equal lines the earliest (by
     document id, then line number) stays. A line of ``min_words`` words or more also goes if an earlier one,
-    itself kept or not, is one word inserted, deleted or replaced away. ``dropped`` lists line numbers from 0.
+    itself kept or not, is one word inserted, deleted or replaced away; each entry of ``grow`` that the shorter
+    of the two reaches in words allows one edit more (``read`` needs the same ``grow``, each entry at least
+    ``min_words``). ``dropped`` lists line numbers from 0.
     Null texts have no line with a word. Null ids come last. Rows that repeat id and text are one place: their lines
     stay or go together. Every row of ``docs`` gives a row.
     """
@@ -156,21 +295,28 @@ def duplicate_lines(
     halves = distinct.where(F.col("n") >= min_words - 1).select("h1", "h2", F.explode(F.array("a1", "a2", "a3", "a4")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
     partners = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    partners = written(distinct.join(partners, ["h1", "h2"]).select("h1", "h2", "place"), "partners")
+    partners = partners.withColumn("half", F.lit(True))
+    if grow:
+        keyed = each.where(F.col("n") >= grow[0]).select("h1", "h2", F.explode("grams").alias("gram"))
+        common = keyed.groupBy("gram").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
+        keyed = written(keyed.join(written(common.select("gram"), "grams"), "gram").distinct(), "keyed")
+        partners = partners.unionByName(keyed.select("h1", "h2").distinct().withColumn("half", F.lit(False)))
+        partners = partners.groupBy("h1", "h2").agg(F.max("half").alias("half"))
+    partners = written(distinct.join(partners, ["h1", "h2"]).select("h1", "h2", "place", "half"), "partners")
 
     wanted = each.select("doc_id", "text_key", "line", "h1", "h2").withColumn("own", _place())
     wanted = wanted.join(partners, ["h1", "h2"]).where("own = place").groupBy("doc_id", "text_key")
-    wanted = wanted.agg(F.collect_set(F.struct("line", "h1", "h2", "place")).alias("wanted"))
+    wanted = wanted.agg(F.collect_set(F.struct("line", "h1", "h2", "place", "half")).alias("wanted"))
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")
     )
     meet = texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.text_key == wanted.text_key)
     found = texts.join(wanted, meet).select(F.split("text", "\n", -1).alias("all"), "wanted")
     line = F.trim(F.regexp_replace(F.get("all", F.col("w.line")), "[\\x20\\x09-\\x0D]+", " "))
-    found = found.select("all", F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.place", F.split(line, " ").alias("words"))
+    found = found.select("all", F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.place", "w.half", F.split(line, " ").alias("words"))
     lines = written(found.dropDuplicates(["h1", "h2"]), "partner-lines")
 
-    keys = lines.select("h1", "h2", F.array_join("words", " ").alias("line")).mapInArrow(_variants, _VARIANTS)
+    keys = lines.where("half").select("h1", "h2", F.array_join("words", " ").alias("line")).mapInArrow(_variants, _VARIANTS)
     keys = written(keys.join(lines.select("h1", "h2", "place"), ["h1", "h2"]), "variants")
     # The earliest line under a variant: made by deleting the same word, whole, or by deleting any word.
     same = keys.groupBy("v1", "v2", "pos").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -188,6 +334,8 @@ def duplicate_lines(
     checked = pairs.join(left, ["h1", "h2"]).join(right, "first").where(_one_edit(F.col("left"), F.col("right")))
     long_enough = F.least(F.size("left"), F.size("right")) >= min_words
     near = written(checked.where(long_enough).select("h1", "h2").distinct(), "near")
+    if grow:
+        near = written(near.unionByName(_by_gram(keyed, lines, near, grow)), "near-by-gram")
 
     verdicts = each.select("doc_id", "text_key", "line", "h1", "h2").withColumn("own", _place())
     verdicts = verdicts.join(distinct.select("h1", "h2", "place"), ["h1", "h2"]).join(
@@ -208,12 +356,18 @@ def duplicate_lines(
     )
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    grow: tuple[int, ...] = (),
+) -> DataFrame:
     """``docs`` with the superfluous lines taken out of their texts; other columns as they are.
 
     A text that loses all its lines becomes empty; its row stays. A null text stays null.
     """
-    found = duplicate_lines(docs, read_lines(docs, id_col, text_col), id_col, text_col, min_words)
+    found = duplicate_lines(docs, read_lines(docs, id_col, text_col, grow), id_col, text_col, min_words, grow)
     found = found.where(F.size("dropped") > 0).select("doc_id", "text_key", "dropped").distinct()
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("dropped").alias("_dropped"))
     meet = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key"))

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from faultline.llm import line_dedup, ngram_join
 from faultline.llm.components import components
 from llm_tables import awkward, words
@@ -144,3 +145,60 @@ def test_lines_equal_brute_force(spark):
 def test_a_text_may_lose_all_its_lines(spark):
     docs = spark.createDataFrame([(1, "same line"), (2, "same line"), (3, None)], "doc_id long, text string")
     assert sorted(map(tuple, line_dedup.drop_lines(docs).collect())) == [(1, "same line"), (2, ""), (3, None)]
+
+
+def edits(a, b):
+    """Words inserted, deleted or replaced, by the whole table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_dropped(rows):
+    """(doc_id, dropped) with the bound that grows with the shorter line, every pair compared; ids are unique."""
+    each = [((d, i), tuple(line.split())) for d, t in sorted(rows) for i, line in enumerate(t.split("\n")) if line.split()]
+    out = {d: [] for d, _ in rows}
+    for at, ((d, i), w) in enumerate(each):
+        for _, x in each[:at]:
+            short = min(len(w), len(x))
+            most = 0 if short < 8 else 1 + (short >= 20) + (short >= 40)
+            if w == x or (abs(len(w) - len(x)) <= most and edits(w, x) <= most):
+                out[d].append(i)
+                break
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_the_bound_grows_with_the_line(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(7)
+    made = []
+    for n in (8, 18, 19, 20, 21, 38, 39, 40, 41, 60, 150, 20, 40):
+        base = ["same"] * n if n == 21 else words(rng, n).split()
+        made.append(" ".join(base))
+        for k in (1, 2, 3, 4, 2, 3, 4):
+            w = list(base)
+            for turn in range(k):
+                i = rng.randrange(len(w))
+                kind = rng.randrange(3)
+                w[i : i + (kind != 1)] = [] if kind == 0 else [f"new{rng.randint(0, 99)}"]
+            made.append(" ".join(w))
+    rng.shuffle(made)
+    rows = [(i, "\n".join(made[i::11])) for i in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    grow = line_dedup.GROWING
+    found = line_dedup.duplicate_lines(docs, line_dedup.read_lines(docs, grow=grow), grow=grow)
+    assert {r.doc_id: r.dropped for r in found.collect()} == brute_dropped(rows)
+
+
+def test_the_pipeline_drops_long_lines_of_two_changed_words(spark):
+    rng = random.Random(8)
+    w = words(rng, 60).split()
+    other = " ".join([*w[:10], "new", *w[11:45], "again", *w[46:]])
+    rows = [(1, " ".join(w), "en", "a", 1), (2, other, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.dedup_lines(spark, docs, "")
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: " ".join(w), 2: ""}
