@@ -27,7 +27,7 @@ ROUNDS = 12
 CHUNK = 8192  # vectors of a shelf that a task holds, on average
 
 
-def usable(vector: str | Column, size: int) -> Column:
+def usable(vector: str | Column, size: int | Column) -> Column:
     """Whether a vector takes part: of the given size, all components finite numbers, not all of them zero."""
     v = F.col(vector) if isinstance(vector, str) else vector
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -109,15 +109,15 @@ def search(
     """(query_id, rank, vec_id, score): for each id divisible by ``every`` its ``k`` nearest other vectors found.
 
     Scores are Euclidean distances in double precision, ties go to the smaller id; with fewer candidates all are
-    returned. Null ids and vectors that are null, zero, of another length than most, or hold null or non-finite
-    components take no part. A query id that repeats is one query, of its smallest vector; candidates that repeat
+    returned. Null ids and vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
+    those of another length than most of the rest; of equally frequent lengths the largest counts. A query id that repeats is one query, of its smallest vector; candidates that repeat
     are one each. An empty table gives no rows. Other columns are ignored.
     """
     spark = table.sparkSession
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec")).where("vec_id is not null")
-    sizes = rows.where("vec is not null").groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    sizes = rows.where(usable("vec", F.size("vec"))).groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None or sizes["size"] < 2:
+    if sizes is None:
         return spark.createDataFrame([], schema)
     size = sizes["size"]
     rows = rows.where(usable("vec", size)).select("vec_id", F.col("vec").cast("array<double>").alias("vec"))
@@ -134,7 +134,8 @@ def search(
     if fitted is None:
         return spark.createDataFrame([], schema)
     half = size // 2
-    books = np.array(fitted.one).reshape(-1, half), np.array(fitted.two).reshape(-1, size - half)
+    # Vectors of one component have an empty first half: all are in its one cell.
+    books = np.array(fitted.one).reshape(-1, half) if half else np.zeros((1, 0)), np.array(fitted.two).reshape(-1, size - half)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

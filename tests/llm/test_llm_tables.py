@@ -45,6 +45,22 @@ def test_search_of_few(spark):
     assert multi_index.search(spark.createDataFrame([(1, None)], schema)).collect() == []
 
 
+def test_unusable_vectors_do_not_choose_the_length(spark):
+    schema = "vec_id long, embedding array<float>"
+    sound = [(100 * i, [float(i), 1.0, 2.0]) for i in range(3)]
+    for bad in ([], [0.0, 0.0], [float("nan")] * 4, [None]):
+        table = spark.createDataFrame(sound + [(1000 + i, bad) for i in range(9)], schema)
+        got = [tuple(r) for r in multi_index.search(table, k=1).orderBy("query_id").collect()]
+        assert got == [(0, 1, 100, 1.0), (100, 1, 0, 1.0), (200, 1, 100, 1.0)]
+    assert multi_index.search(spark.createDataFrame([(1, []), (2, [])], schema)).collect() == []
+
+
+def test_vectors_of_one_component(spark):
+    table = spark.createDataFrame([(100 * i, [float(x)]) for i, x in enumerate((1, 2, 4, 8))], "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in multi_index.search(table, k=1).orderBy("query_id").collect()]
+    assert got == [(0, 1, 100, 1.0), (100, 1, 0, 1.0), (200, 1, 100, 2.0), (300, 1, 200, 4.0)]
+
+
 def test_traversal_is_in_order_of_summed_distance():
     rng = np.random.default_rng(0)
     first, second = rng.random(6), rng.random(5)
