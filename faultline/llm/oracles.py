@@ -176,6 +176,62 @@ select doc_id, size, cast(k.source_size as bigint) as source_size, target,
 from k left join e on k.source is not distinct from e.source
 """
 
+# CRC-32 from its table, which its polynomial gives.
+OP11 = """
+with t as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as tab),
+own as (
+  select conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as seq
+  from conversations where conv_id is not null group by conv_id),
+plan as (
+  select conv_id, seq, conv_id - ((conv_id % 5) + 5) % 5 as base,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda ch: ascii(ch)::bigint)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::bigint) % 9 as h
+  from own, t),
+new as (
+  select plan.conv_id, list_concat(coalesce(own.seq[1:plan.h], []), plan.seq[plan.h + 1:]) as seq from plan left join own on own.conv_id = plan.base),
+m as (select conv_id, d, seq[1:d] as pre, d = len(seq) as ends from new, unnest(range(len(seq) + 1)) as u(d)),
+n as (
+  select pre, d, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from m group by pre, d),
+k as (select pre[1:d - 1] as pre, count(*) as n_children from n where d > 0 group by 1),
+c as (
+  select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * case when d = 0 then 0 else octet_length(encode(n.pre[d].x)) end as saved
+  from n left join k on k.pre = n.pre),
+s as (select pre[1:a] as pre, sum((n_children = 0)::int) as n_leaves, sum(saved) as saved_tokens from c, unnest(range(d + 1)) as u(a) group by 1)
+select c.conv_id, c.d as depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, cast(n_leaves as bigint) as n_leaves,
+  cast(saved_tokens as bigint) as saved_tokens, c.ends_sha256
+from c join s on s.pre = c.pre left join n p on c.d > 0 and p.pre = c.pre[1:c.d - 1]
+"""
+
+OP12 = """
+with d as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents),
+w as materialized (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from d),
+g as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as p
+  from w, (values (1), (2), (3)) as t(k) where len(w) >= k),
+f as materialized (select lang, k, p, count(*) as a from g group by lang, k, p),
+n as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+c as materialized (select *, string_split(p, ' ') as v from f where k >= 2 and a >= 10),
+held as (select lang, array_to_string(v[i:i + 1], ' ') as p, max(a) as held from c, (values (1), (2)) as t(i) where k = 3 group by 1, 2),
+cuts as (
+  select lang, p, a, j, array_to_string(v[1:j], ' ') as first, array_to_string(v[j + 1:], ' ') as second from c, (values (1), (2)) as t(j) where j < k),
+s as (
+  select cuts.lang, cuts.p, cuts.a, l.a as l, r.a as r, j, cast(1000000::hugeint * cuts.a * cuts.a // (l.a::hugeint * r.a) as bigint) as score
+  from cuts join f as l on l.lang = cuts.lang and l.p = first join f as r on r.lang = cuts.lang and r.p = second),
+b as (select * from s qualify row_number() over (partition by lang, p order by score, j) = 1),
+q as (
+  select b.*, b.p as phrase from b left join held on held.lang = b.lang and held.p = b.p
+  where held is null or 100 * held < 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from q join n using (lang) qualify rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -186,4 +242,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_events": OP6,
         "op7_line_dedup": OP7,
         "op9_pareto_mix": OP9,
+        "op11_prefix_trie": OP11,
+        "op12_collocations": OP12,
     }

@@ -10,12 +10,15 @@ from faultline.llm import (
     blob_ledger,
     byte_bpe,
     chat_events,
+    collocations,
     line_dedup,
     multi_index,
     ngram_join,
     pareto_mix,
+    prefix_trie,
     pu_toxicity,
     repetition,
+    token_planes,
     warc,
 )
 from faultline.llm.oracles import oracle_sql as oracle_sql
@@ -91,11 +94,30 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks_path())
 
 
+def words_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.regrouped_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_planes.stored(_table(spark, sf_dir, "documents"), words_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_ngram_join, op2_multi_index, op3_repetition, op4_secret_scan, op5_warc_segments,
             op6_chat_events, op7_line_dedup, op8_toxicity, op9_pareto_mix, op10_byte_bpe,
+            op11_prefix_trie, op12_collocations, op13_token_planes,
         )
     }
