@@ -11,25 +11,28 @@ halves or their last halves are equal; lines that share no half with any other a
 
 Where long lines may differ in more words, deletions of several words would grow with a power of the line. There,
 a line emits its 4k + 1 smallest hashed four-word grams, k being its bound: k edits change at most 4k grams of either
-line, so the smallest one in common is among these. Lines under a gram are compared in blocks of bounded size.
+line, so the smallest one in common is among these. Under a gram, lines are compared by sketches, 256 bits that each word
+of a line flips one of: k edits flip 2k at most. Only lines whose sketches are that close are verified, on the
+words: each with the earliest such line first, and those that it does not settle with all others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.llm.words import hashed, mixed, ngrams, slices, split_lines, split_words
+from faultline.operators.ordered import ordered_features, position
 from faultline.operators.shared import written
 
 MIN_WORDS = 8  # shorter lines are only compared exactly: one word of seven is too much to ignore
 GROWING = (20, 40)  # words of the shorter line from which one more edit is allowed: 2 from 20, 3 from 40
 GRAM = 4  # words of a gram
-BLOCK, BLOCK_WORDS = 256, 1 << 18  # lines, and words, of one gram that a task compares with as many others
+BLOCK = 2048  # lines of one gram that a task compares with as many others
+SKETCH = 4  # times 64 bits
 
 _LINES = "array<struct<line:int,h1:long,h2:long,n:int,a1:long,a2:long,a3:long,a4:long{}>>"
 _NEAR = "h1 long, h2 long"
@@ -148,8 +151,15 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _place() -> Column:
-    """Order of a line: document, then line number, as one number that combines map-side. A null id is last."""
-    return F.coalesce(F.col("doc_id"), F.lit("9223372036854775808").cast("decimal(20,0)")).cast("decimal(20,0)") * 4294967296 + F.col("line")
+    """Order of a line: document id, text, line number, as one number that combines map-side.
+
+    Null ids are last, in order of their text's digest; texts of one id are told apart by 28 bits of it.
+    """
+    wide = "decimal(20,0)"
+    digest = F.col("text_key").cast(wide) + F.lit("9223372036854775808").cast(wide)
+    own = F.coalesce(F.col("doc_id").cast("decimal(21,0)"), F.lit("9223372036854775808").cast("decimal(21,0)") + digest)
+    within = F.pmod("text_key", F.lit(1 << 28)) * F.lit(1 << 31) + F.col("line")
+    return (own * F.lit(1 << 59).cast("decimal(18,0)") + within.cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -188,67 +198,122 @@ def _within(a: list, b: list, most: int) -> bool:
     return far.get(goal) == len(a)
 
 
-def _closer(grow: tuple[int, ...]):
-    """The open lines of each pair of blocks that an earlier line of it is near to."""
+def _bound(n, grow: tuple[int, ...]):
+    """Words in which lines may differ, the shorter of which has ``n``."""
+    return 1 + np.searchsorted(grow, n, side="right")
 
-    def bound(n: int) -> int:
-        return 1 + sum(n >= least for least in grow)
 
-    def rows(batches):
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, place, n, s0..): the words of each line, and a bit for each of them, flipped."""
+    for part in slices(batches, "line", 1 << 20):
+        starts, words = split_words(part.column("line"))
+        hashes = hashed(words, 3)
+        bits = np.zeros((part.num_rows, SKETCH), np.uint64)
+        owner = np.repeat(np.arange(part.num_rows), np.diff(starts))
+        np.bitwise_xor.at(bits, (owner, (hashes >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (hashes & np.uint64(63)))
+        sides = [pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(SKETCH)]
+        columns = [*[part.column(c) for c in ("h1", "h2", "place")], pa.array(np.diff(starts).astype(np.int32)), *sides]
+        yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "place", "n", *[f"s{k}" for k in range(SKETCH)]])
+
+
+def _closer(grow: tuple[int, ...], every: bool):
+    """(turn, first): for each open line of a pair of blocks the earliest line, or ``every`` one, whose sketch is close enough."""
+    names = ["gram", "x", "y", "own", "turn", "n", "open", *[f"s{k}" for k in range(SKETCH)]]
+
+    def near(rows: dict[str, np.ndarray], across: bool) -> tuple[np.ndarray, np.ndarray]:
+        late = np.flatnonzero(rows["open"])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(late), 256):
+            own = late[at : at + 256]
+            differ = sum(np.bitwise_count(rows[f"s{k}"][own, None] ^ rows[f"s{k}"][None, :]).astype(np.int16) for k in range(SKETCH))
+            short = np.minimum(rows["n"][own, None], rows["n"][None, :])
+            most = _bound(short, grow)
+            close = (differ <= 2 * most) & (most > 1) & (np.maximum(rows["n"][own, None], rows["n"][None, :]) - short <= most)
+            close &= rows["turn"][None, :] < rows["turn"][own, None]
+            if across:
+                close &= rows["own"][own, None] != rows["own"][None, :]
+            if every:
+                i, j = np.nonzero(close)
+            else:  # rows are in order of their turns
+                i = np.flatnonzero(close.any(axis=1))
+                j = close[i].argmax(axis=1)
+            found.append((rows["turn"][own[i]], rows["turn"][j]))
+        return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+    def blocks(batches):
+        """Arrays of the rows of one pair of blocks; blocks bound them."""
+        left: dict[str, np.ndarray] | None = None
         for batch in batches:
-            for part in slices([batch], "line"):
-                yield from part.to_pylist()
-
-    def near(group: list[dict], across: bool):
-        codes: dict = {}
-        for r in group:
-            r["words"] = [codes.setdefault(w, len(codes)) for w in r["line"].split(" ")]
-            turns: dict = {}
-            r["bag"] = set()
-            for w in r["words"]:
-                turns[w] = turns.get(w, -1) + 1
-                r["bag"].add((w, turns[w]))
-        for late in group:
-            if not late["open"]:
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            if left is not None:
+                rows = {c: np.concatenate([left[c], rows[c]]) for c in names}
+            if not len(rows["gram"]):
                 continue
-            for early in group:
-                if early["place"] >= late["place"] or (across and early["own"] == late["own"]):
-                    continue
-                n, wide = sorted((len(early["words"]), len(late["words"])))
-                most = bound(n)
-                if most == 1 or wide - n > most or len(early["bag"] & late["bag"]) < wide - most:
-                    continue
-                if _within(early["words"], late["words"], most):
-                    yield late["h1"], late["h2"]
-                    break
+            fresh = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in ("gram", "x", "y")])
+            ends = np.flatnonzero(fresh) + 1
+            begins = np.concatenate([[0], ends])
+            for a, b in zip(begins[:-1], ends, strict=True):
+                yield {c: rows[c][a:b] for c in names}
+            left = {c: rows[c][begins[-1] :] for c in names}
+        if left is not None:
+            yield left
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches):
+            late, early = near(rows, rows["x"][0] != rows["y"][0])
+            if len(late):
+                yield pa.RecordBatch.from_arrays([pa.array(late), pa.array(early)], ["turn", "first"])
+
+    return run
 
+
+def _verified(grow: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (_, x, y), group in groupby(rows(batches), lambda r: (r["gram"], r["x"], r["y"])):
-            out += near(list(group), x != y)
-            if len(out) > 1 << 14:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["h1", "h2"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["h1", "h2"])
+        for batch in batches:
+            lines = [[x.split(" ") for x in batch.column(c).to_pylist()] for c in ("late", "early")]
+            good = [_within(a, b, int(_bound(min(len(a), len(b)), grow))) for a, b in zip(*lines, strict=True)]
+            yield batch.select(["h1", "h2"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def _by_gram(keyed: DataFrame, lines: DataFrame, near: DataFrame, grow: tuple[int, ...]) -> DataFrame:
-    """(h1, h2) of further lines that are near an earlier one, of ``keyed`` (gram, h1, h2)."""
-    rows = keyed.join(lines.select("h1", "h2", "place", "words"), ["h1", "h2"])
-    rows = rows.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").withColumn("open", F.col("near").isNull())
-    rows = rows.select("gram", "h1", "h2", "place", "open", F.size("words").alias("n"), F.array_join("words", " ").alias("line"))
-    rows = written(rows, "gram-lines")
-    sizes = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("all"), F.max("open").alias("any"))
-    blocks = F.ceil(F.greatest(F.col("lines") / BLOCK, F.col("all") / BLOCK_WORDS)).cast("long")
-    sizes = sizes.where("lines > 1 and any").select("gram", blocks.alias("blocks"))
-    cut = rows.join(sizes, "gram").withColumn("own", F.pmod(F.xxhash64("h2"), "blocks"))
+    """(h1, h2) of further lines that are near an earlier one, of ``keyed`` (gram, h1, h2). Under a gram, a line is a number and
+    a sketch; its text is read once per verification."""
+    least = grow[0]
+    text = lines.where(F.size("words") >= least).select("h1", "h2", "place", F.array_join("words", " ").alias("line"))
+    sides = ", ".join(f"s{k} long" for k in range(SKETCH))
+    sketches = text.mapInArrow(_sketches, f"h1 long, h2 long, place decimal(38,0), n int, {sides}")
+    # The order of lines as a long: places are wider. Equal places are equal lines' only.
+    sketches = written(ordered_features(sketches, [], [F.col("place")], [position("turn")], unique=True), "sketches")
+    lines_by_turn = written(sketches.select("h1", "h2", "turn").join(text.select("h1", "h2", "line"), ["h1", "h2"]), "turns")
+    rows = keyed.join(sketches.drop("place"), ["h1", "h2"]).join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+    rows = written(rows.withColumn("open", F.col("near").isNull()).drop("near", "h1", "h2"), "gram-lines")
+    closed = lines_by_turn.select("h1", "h2").where("false")
+    for every in (False, True):
+        found = written(_candidates(rows, grow, every), "candidates")
+        found = found if every else found.groupBy("turn").agg(F.min("first").alias("first"))
+        late = found.join(lines_by_turn.withColumnRenamed("line", "late"), "turn")
+        early = lines_by_turn.select(F.col("turn").alias("first"), F.col("line").alias("early"))
+        pairs = late.join(early, "first").select("h1", "h2", "late", "early")
+        closed = written(closed.unionByName(pairs.mapInArrow(_verified(grow), _NEAR).distinct()), "closed")
+        # Second time: lines that have a candidate, but not the earliest one.
+        still = found.select("turn").distinct().join(closed.join(lines_by_turn.select("h1", "h2", "turn"), ["h1", "h2"]), "turn", "left_anti")
+        if not every:
+            still = written(still, "still-open")
+            rows = rows.drop("open").join(still.withColumn("open", F.lit(True)), "turn", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    return closed.distinct()
+
+
+def _candidates(rows: DataFrame, grow: tuple[int, ...], every: bool) -> DataFrame:
+    """(turn, first) of open lines and earlier ones with a gram in common and close sketches."""
+    sizes = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("lines"), F.min("turn").alias("low"), F.max(F.when(F.col("open"), F.col("turn"))).alias("high"))
+    sizes = sizes.where("high > low").select("gram", F.ceil(F.col("lines") / BLOCK).cast("long").alias("blocks"), "high")
+    cut = rows.join(sizes, "gram").where("turn <= high").withColumn("own", F.pmod(F.xxhash64("turn"), "blocks"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("n", "blocks", "other")
-    cut = cut.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y", "place")
-    return cut.mapInArrow(_closer(grow), _NEAR).distinct()
+    cut = cut.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("high", "blocks", "other")
+    cut = cut.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y", "turn")
+    return cut.mapInArrow(_closer(grow, every), "turn long, first long").distinct()
 
 
 def read_lines(
@@ -279,11 +344,11 @@ def duplicate_lines(
     """(doc_id, text_key, n_lines, n_exact, n_near, dropped): the lines that an earlier one makes superfluous.
 
     Lines are compared as sequences of words. A line without a word stays. Of equal lines the earliest (by
-    document id, then line number) stays. A line of ``min_words`` words or more also goes if an earlier one,
+    document id, then text, then line number) stays. A line of ``min_words`` words or more also goes if an earlier one,
     itself kept or not, is one word inserted, deleted or replaced away; each entry of ``grow`` that the shorter
     of the two reaches in words allows one edit more (``read`` needs the same ``grow``, each entry at least
     ``min_words``). ``dropped`` lists line numbers from 0.
-    Null texts have no line with a word. Null ids come last. Rows that repeat id and text are one place: their lines
+    Null texts have no line with a word. Null ids come last, in the order of their texts' digests. Rows that repeat id and text are one place: their lines
     stay or go together. Every row of ``docs`` gives a row.
     """
     each = read.select("doc_id", "text_key", F.inline("lines"))

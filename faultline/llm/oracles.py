@@ -118,12 +118,14 @@ from e group by conv_id
 
 _LINE_WORDS = "list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 OP7 = f"""
-with d as (select distinct doc_id, coalesce(text, '') as text from documents),
+with d as (
+  select *, row_number() over (order by doc_id nulls last, text)::hugeint * 4294967296 as place
+  from (select distinct doc_id, coalesce(text, '') as text from documents)),
 o as (
-  select doc_id, text, unnest(range(len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as line from d),
-w as (select doc_id, text, i, {_LINE_WORDS} as w from o),
+  select doc_id, text, place, unnest(range(len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as line from d),
+w as (select doc_id, text, place + i as own, i, {_LINE_WORDS} as w from o),
 occ as (select * from w where len(w) > 0),
-u as (select w, min((coalesce(doc_id, 9223372036854775807)::hugeint * 4294967296 + i)) as place from occ group by w),
+u as (select w, min(own) as place from occ group by w),
 v as (select w, place, unnest(range(1, len(w) + 1)) as pos from u where len(w) >= 8),
 x as (select w, place, pos, list_concat(w[1:pos - 1], w[pos + 1:]) as rest from v),
 pairs as (
@@ -131,7 +133,7 @@ pairs as (
   union select x.w from x join u on u.w = x.rest where len(u.w) >= 8 and u.place < x.place
   union select u.w from x join u on u.w = x.rest where len(u.w) >= 8 and x.place < u.place),
 j as (
-  select occ.doc_id, occ.text, occ.i, (coalesce(occ.doc_id, 9223372036854775807)::hugeint * 4294967296 + occ.i) > u.place as exact,
+  select occ.doc_id, occ.text, occ.i, occ.own > u.place as exact,
     pairs.w is not null as near
   from occ join u on occ.w = u.w left join pairs on pairs.w = occ.w),
 k as (
@@ -146,7 +148,7 @@ from documents left join k on documents.doc_id is not distinct from k.doc_id and
 OP9 = f"""
 with s as (
   select doc_id, source, cast(len({_WORDS}) as bigint) as size,
-    (cast('0x' || substr(md5('9:' || coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint)::double + 0.5) / 281474976710656.0 as u
+    (cast('0x' || substr(md5('9:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 12) as bigint)::double + 0.5) / 281474976710656.0 as u
   from documents),
 t as (select source, sum(size)::double as source_size, 2.0 * sum(size)::double as cap from s group by source),
 w as (select *, [3.0, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight from t),
@@ -167,13 +169,10 @@ m as (
   select *, target - sum(whole * size) over (partition by source) as missing,
     sum(case when rank_ is not null then size else 0 end) over (partition by source order by rank_ nulls last, doc_id nulls first, size
       rows between unbounded preceding and current row) as upto
-  from r),
-k as (
-  select *, dense_rank() over (partition by source order by rank_ nulls last, doc_id nulls first, size) as place from m),
-e as (select source, max(place) as last_ from k where rank_ is not null and 2 * upto - size < 2 * missing group by source)
-select doc_id, size, cast(k.source_size as bigint) as source_size, target,
-  cast((whole + case when rank_ is not null and place <= e.last_ then 1 else 0 end) * size as bigint) as taken
-from k left join e on k.source is not distinct from e.source
+  from r)
+select doc_id, size, cast(m.source_size as bigint) as source_size, target,
+  cast((whole + case when rank_ is not null and 2 * upto - size < 2 * missing then 1 else 0 end) * size as bigint) as taken
+from m
 """
 
 # CRC-32 from its table, which its polynomial gives.

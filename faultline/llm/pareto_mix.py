@@ -3,18 +3,20 @@
 A source's target, shared out by size and preference, is the number of copies expected of each of its documents.
 Whole copies are certain. For the rest, u being a document's random number and p the fraction left, documents
 are ranked by the odds of u divided by the odds of p, and the first ones are taken until their words fill
-what is missing: a sample of fixed size with unequal probabilities. Random numbers are digests of the id,
+what is missing: a sample of fixed size with unequal probabilities. Random numbers are digests of id and text,
 so reruns agree.
 
 No source is sorted in one task. The logarithms of the ranks of a source are cut into even slots; words per slot
 show which slot holds the end of the sample; that slot is cut again until it is small enough to be sorted.
-What remains is one row per source, the last document taken, and every row is compared with it in place.
+What remains is one row per source, the last document taken, and every row is compared with it in place. Rows of
+equal rank, id and size are counted first, so however many there are, they are one row there, and as many of them are taken as fit.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from faultline.operators.ordered import ordered_features, position
 from faultline.operators.shared import written
 
 WEIGHTS = (3, 1, 2)  # of the sources in code-point order, repeating
@@ -30,10 +32,10 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform(id_col: str, seed: int = SEED) -> Column:
-    """A number strictly between 0 and 1 for each id: 48 bits of a digest."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double")
+def uniform(id_col: str, text_col: str, seed: int = SEED) -> Column:
+    """A number strictly between 0 and 1 for each id and text, null ones like empty ones: 48 bits of a digest."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text_col)]
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), parts[0], F.lit(":"), parts[1]).cast("binary")), 1, 12), 16, 10).cast("double")
     return (bits + 0.5) / F.lit(float(1 << 48))
 
 
@@ -62,22 +64,23 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def _ends(rows: DataFrame, missing: DataFrame) -> DataFrame:
-    """(of, end_rank, end_id, end_size): the last document of each source's sample, in order of rank, id and size.
+    """(of, low, end_rank, end_id, end_size, end_n, end_taken): the last documents of each source's sample, in order of rank, id
+    and size, their number, and how many of them are taken.
 
     A document is in the sample if the middle of its words lies before the missing words' end. Sources without
-    a sample have no row. ``rows`` (source, rank, doc_id, size), ``missing`` (of, missing).
+    a sample have no row. ``rows`` (source, rank, doc_id, size, n): n documents alike; ``missing`` (of, missing).
     """
-    pool = rows.where("rank is not null").withColumn("x", F.log("rank"))
+    pool = rows.where("rank is not null").withColumn("x", F.log("rank")).withColumn("words", F.col("n") * F.col("size"))
     span = pool.groupBy("source").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("docs"))
     span = written(span.select(F.col("source").alias("of"), "low", "high", "docs", F.lit(0).cast("long").alias("before")), "span")
     same = F.col("source").eqNullSafe(F.col("of"))
-    # Below this width, or this number of documents, a slot is sorted.
+    # Below this width, or this number of rows, a slot is sorted.
     wide = (F.col("docs") > SORTED) & (F.col("high") > F.col("low"))
     while not span.where(wide).isEmpty():
         slot = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * SLOTS), F.lit(SLOTS - 1))
         inside = pool.join(span, same).where(wide & F.col("x").between(F.col("low"), F.col("high"))).withColumn("slot", slot)
         slots = inside.groupBy("of", "slot", "before").agg(
-            F.min("x").alias("low"), F.max("x").alias("high"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")
+            F.min("x").alias("low"), F.max("x").alias("high"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("docs")
         )
         running = Window.partitionBy("of").orderBy("slot")
         slots = slots.withColumn("upto", F.col("before") + F.sum("words").over(running))
@@ -90,18 +93,19 @@ def _ends(rows: DataFrame, missing: DataFrame) -> DataFrame:
         span = written(span.where(~wide).unionByName(narrowed), "span")
     inside = pool.join(span, same).where(F.col("x").between(F.col("low"), F.col("high")))
     order = Window.partitionBy("of").orderBy("rank", "doc_id", "size")
-    upto = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = inside.select("of", "rank", "doc_id", "size", upto.alias("upto"))
+    upto = F.col("before") + F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = inside.select("of", "rank", "doc_id", "size", "n", "words", upto.alias("upto"))
     inside = inside.join(missing.withColumnRenamed("of", "from"), F.col("of").eqNullSafe(F.col("from")))
-    taken = inside.where(2 * F.col("upto") - F.col("size") < 2 * F.col("missing"))
+    # Of n documents alike, the i-th is taken if (i - 1/2) * size lies before the end.
+    room = F.col("missing") - (F.col("upto") - F.col("words"))
+    fit = F.when(room <= 0, 0).when(F.col("size") == 0, F.col("n")).otherwise(F.ceil(room / F.col("size") + 0.5) - 1)
+    taken = inside.withColumn("taken", F.least(fit, "n").cast("long")).where("taken > 0")
     first = Window.partitionBy("of").orderBy(F.desc("rank"), F.desc_nulls_last("doc_id"), F.desc("size"))
-    ends = taken.withColumn("n", F.row_number().over(first)).where("n = 1")
+    ends = taken.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     # A slot of which nothing is taken ends just below its first document.
-    found = ends.select("of", F.col("rank").alias("end_rank"), F.col("doc_id").alias("end_id"), F.col("size").alias("end_size"))
+    found = ends.select("of", *[F.col(c).alias(f"end_{d}") for c, d in (("rank", "rank"), ("doc_id", "id"), ("size", "size"), ("n", "n"), ("taken", "taken"))])
     low = span.select(F.col("of").alias("from"), "low")
-    return low.join(found, F.col("of").eqNullSafe(F.col("from")), "left").select(
-        F.col("from").alias("of"), "low", "end_rank", "end_id", "end_size"
-    )
+    return low.join(found, F.col("of").eqNullSafe(F.col("from")), "left").drop("of").withColumnRenamed("from", "of")
 
 
 def mix(
@@ -120,9 +124,9 @@ def mix(
     Expected copies of a document are its source's target times its ``preference`` (1 by default), divided by the sum of
     preference times size over the source, ``most`` at most. Whole copies go to all; of the rest, documents first
     in Pareto order get one more, up to the source's target in words. Null texts are of size 0, and so are texts
-    without words; they may be copied, too. Null ids share one random number. Rows that agree in id and size are
-    taken together. A null source is a source, last in order. An empty table gives no rows. Preferences are
-    positive; a null one counts as 1.
+    without words; they may be copied, too. Rows of one id and text share a random number, null ids included; where the
+    sample ends among such rows, only as many of them as fit are taken, any of them. A null source is a source, last
+    in order. An empty table gives no rows. Preferences are positive; a null one counts as 1.
     """
     liking = F.coalesce(preference.cast("double"), F.lit(1.0)) if preference is not None else F.lit(1.0)
     wide = docs.withColumns(
@@ -130,7 +134,7 @@ def mix(
             "_mix_id": F.col(id_col).cast("long"),
             "_mix_source": F.col(source_col).cast("string"),
             "_mix_size": word_count(text_col),
-            "_mix_u": uniform(id_col, seed),
+            "_mix_u": uniform(id_col, text_col, seed),
             "_mix_liking": liking,
         }
     ).drop("size", "source_size", "target", "copies")
@@ -141,16 +145,27 @@ def mix(
     liked = sizes.groupBy("source").agg(F.sum(F.col("liking") * F.col("size")).alias("liked"))
     liked = liked.select(F.col("source").alias("of"), "liked")
     plan = written(targets.join(liked, F.col("source").eqNullSafe(F.col("of"))).drop("source"), "plan")
-    rows = _ranked(sizes.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of"), most)
-    given = rows.groupBy("source", "target").agg(F.sum(F.col("whole") * F.col("size")).alias("given"))
+    alike = sizes.groupBy("source", "doc_id", "size", "u", "liking").agg(F.count(F.lit(1)).alias("n"))
+    rows = _ranked(alike.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of"), most)
+    rows = written(rows.select("source", "target", "doc_id", "size", "n", "whole", "rank"), "ranked")
+    given = rows.groupBy("source", "target").agg(F.sum(F.col("whole") * F.col("size") * F.col("n")).alias("given"))
     missing = written(given.select(F.col("source").alias("of"), (F.col("target") - F.col("given")).alias("missing")), "missing")
     ends = _ends(rows, missing)
     plan = plan.join(ends.withColumnRenamed("of", "from"), F.col("of").eqNullSafe(F.col("from")), "left").drop("from")
     plan = written(plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns]), "ends")
     joined = _ranked(wide.join(plan, F.col("_mix_source").eqNullSafe(F.col("_mix_of"))), most, "_mix_")
-    below = F.log("_mix_rank") < F.col("_mix_low")
-    upto = F.struct("_mix_rank", "_mix_id", "_mix_size") <= F.struct("_mix_end_rank", "_mix_end_id", "_mix_end_size")
-    more = F.col("_mix_rank").isNotNull() & F.coalesce(F.when(F.col("_mix_end_rank").isNull(), below).otherwise(upto), F.lit(False))
+    own, end = (F.struct(*[F.col(f"_mix_{c}") for c in names]) for names in (("rank", "id", "size"), ("end_rank", "end_id", "end_size")))
+    below = F.when(F.col("_mix_end_rank").isNull(), F.log("_mix_rank") < F.col("_mix_low")).otherwise(own < end)
+    last = F.col("_mix_rank").isNotNull() & F.col("_mix_end_rank").isNotNull() & (own <= end) & (own >= end)
+    # Rows alike of which some only are taken are numbered; there are none if rows differ.
+    some = last & (F.col("_mix_end_taken") < F.col("_mix_end_n"))
+    if plan.where("_mix_end_taken < _mix_end_n").isEmpty():
+        joined = joined.withColumn("_mix_nth", F.lit(1).cast("long"))
+    else:
+        edge = joined.where(some).withColumn("_mix_place", F.monotonically_increasing_id())
+        edge = ordered_features(edge, ["_mix_of"], [F.col("_mix_place")], [position("_mix_nth")]).drop("_mix_place")
+        joined = joined.where(~F.coalesce(some, F.lit(False))).withColumn("_mix_nth", F.lit(1).cast("long")).unionByName(edge)
+    more = F.col("_mix_rank").isNotNull() & (F.coalesce(below, F.lit(False)) | F.coalesce(last & (F.col("_mix_nth") <= F.col("_mix_end_taken")), F.lit(False)))
     copies = (F.col("_mix_whole") + more.cast("int")).cast("long")
     return joined.select(
         *kept, F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"),

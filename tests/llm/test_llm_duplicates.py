@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from faultline.llm import line_dedup, ngram_join
 from faultline.llm.components import components
@@ -98,14 +100,20 @@ def one_edit(a, b):
     return max(len(a), len(b)) - head - tail <= 1
 
 
-def brute_lines(rows, least=8):
-    last = float("inf")
+def digests(docs):
+    return dict(map(tuple, docs.select("text", F.xxhash64("text")).distinct().collect()))
+
+
+def brute_lines(rows, keys, least=8):
+    def place_of(d, t, i):
+        return (1, keys[t]) if d is None else (0, d), keys[t] % (1 << 28), i
+
     places = {}
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
             w = tuple(line.encode().split())
             if w:
-                place = (last if d is None else d, i)
+                place = place_of(d, t, i)
                 places[w] = min(places.get(w, place), place)
     near = {
         w for w in places if len(w) >= least
@@ -114,12 +122,23 @@ def brute_lines(rows, least=8):
     out = Counter()
     for d, t in rows:
         lines = [(i, tuple(x.encode().split())) for i, x in enumerate((t or "").split("\n"))]
-        own = [(i, w, places[w] < (last if d is None else d, i)) for i, w in lines if w]
+        own = [(i, w, places[w] < place_of(d, t, i)) for i, w in lines if w]
         dropped = tuple(i for i, w, exact in own if exact or w in near)
         out[(d, len(own), sum(e for *_, e in own), len(dropped) - sum(e for *_, e in own), dropped)] += 1
     return out
 
 
+def test_equal_lines_of_documents_without_or_with_one_id(spark):
+    """Lines of one number in different texts are told apart: one of each three stays."""
+    line = "one line that stands in all of these documents"
+    for ids in ((None, None, None), (4, 4, 4)):
+        docs = spark.createDataFrame([(d, f"{line}\nown words {k}") for k, d in enumerate(ids)], "doc_id long, text string")
+        rows = [tuple(r) for r in docs.collect()]
+        found = line_dedup.duplicate_lines(docs, line_dedup.read_lines(docs)).drop("text_key").collect()
+        assert sorted(r.n_exact for r in found) == [0, 1, 1]
+        assert Counter((r.doc_id, r.n_lines, r.n_exact, r.n_near, tuple(r.dropped)) for r in found) == brute_lines(rows, digests(docs))
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(4)
     lines = [words(rng, n) for n in (3, 7, 8, 9, 12, 12, 30)]
@@ -136,9 +155,9 @@ def test_lines_equal_brute_force(spark):
     )
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     found = line_dedup.duplicate_lines(docs, line_dedup.read_lines(docs)).drop("text_key").collect()
-    assert Counter((r.doc_id, r.n_lines, r.n_exact, r.n_near, tuple(r.dropped)) for r in found) == brute_lines(rows)
+    assert Counter((r.doc_id, r.n_lines, r.n_exact, r.n_near, tuple(r.dropped)) for r in found) == brute_lines(rows, digests(docs))
     kept = {r.doc_id: r.text for r in line_dedup.drop_lines(docs).where("doc_id >= 50").collect()}
-    gone = {k[0]: k[4] for k in brute_lines(rows)}
+    gone = {k[0]: k[4] for k in brute_lines(rows, digests(docs))}
     assert kept == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in extra}
 
 

@@ -185,6 +185,19 @@ def test_mix_prefers(spark):
     assert sum(taken) == 1200 and taken[0] / taken[1] == pytest.approx(3, rel=0.2)
 
 
+@pytest.mark.parametrize("equal", [False, True])
+def test_mix_of_many_rows_without_or_with_one_id(spark, equal):
+    """Of rows alike, as many are taken as the target asks for."""
+    for key in (None, 7):
+        rows = [(key, "w " * 10 + ("" if equal else f"x{i}"), "a", i) for i in range(600)] + [(i, "w " * 20, "b", i) for i in range(50)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, nth int").repartition(5)
+        got = pareto_mix.mix(docs).collect()
+        for source in "ab":
+            own = [r for r in got if r.source == source]
+            assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 20
+        assert len({(r.source, r.nth) for r in got}) == 650 == len(got)
+
+
 def test_mix_of_awkward_rows(spark):
     docs = awkward(spark)
     got = pareto_mix.mix(docs)
