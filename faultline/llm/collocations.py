@@ -32,8 +32,8 @@ TOP = 2000  # phrases per language
 SCALE = 1_000_000  # of scores
 FILTER_BITS = 25  # the filter has 2**25 bits, 4 MB
 SEGMENTS = 1024  # a prefix with more than this fraction of all words is cut
-SLICE_BYTES = 12 << 20
-WORDS_HELD = 400_000  # distinct words that a task counts before it hands them on
+SLICE_BYTES = 6 << 20
+WORDS_HELD = 200_000  # distinct words that a task counts before it hands them on
 _PROBES = 4
 
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
