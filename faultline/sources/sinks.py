@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,31 @@ def register_views(
     for name in bound:
         registry[name](spark, root).createOrReplaceTempView(name)
     return bound
+
+
+class NamedResults:
+    """Results by name that run nothing until they are used.
+
+    A name is built, counted and staged at its first use, bound as a temp view, and kept. ``sql`` binds the
+    names that stand in its text as whole words, in either case, and no others.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, registry: Mapping[str, Callable[[SparkSession, str], DataFrame]]):
+        self._spark, self._root, self._registry = spark, root, dict(registry)
+        self._built: dict[str, DataFrame] = {}
+
+    def __iter__(self):
+        return iter(self._registry)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._registry[name](self._spark, self._root)
+            self._built[name].createOrReplaceTempView(name)
+        return self._built[name]
+
+    def sql(self, text: str) -> DataFrame:
+        words = {w.lower() for w in re.findall(r"\w+", text)}
+        for name in self._registry:
+            if name.lower() in words:
+                self[name]
+        return self._spark.sql(text)

@@ -45,3 +45,27 @@ def test_chart_frames_are_written(spark, tmp_path):
     paths = write_frames(frames, str(tmp_path))
     for name, path in paths.items():
         assert sorted(map(str, spark.read.parquet(path).collect())) == sorted(map(str, frames[name].collect()))
+
+
+def test_named_results_run_nothing_until_they_are_used(spark):
+    from faultline.plans.registry import queries
+    from faultline.sources.sinks import NamedResults
+
+    spark.sparkContext.setJobGroup("named", "jobs of named results")
+
+    def jobs():
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("named"))
+
+    built = []
+
+    def watched(name, query):
+        return lambda s, root: built.append(name) or query(s, root)
+
+    try:
+        named = NamedResults(spark, SMALL, {name: watched(name, q) for name, q in queries().items()})
+        assert set(named) == set(queries()) and jobs() == 0 and built == []
+        assert named.sql("select count(*) as n from Q01 where AVG_OVERALL_STARS > 0").first().n > 0
+        assert built == ["q01"] and jobs() > 0
+        assert named["q01"] is named["q01"] and built == ["q01"]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
