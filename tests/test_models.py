@@ -57,6 +57,18 @@ def test_logistic_reaches_the_minimum(spark, root, fit):
     assert [fitted.intercept, *fitted.coefficients] == pytest.approx(w.tolist(), rel=1e-4)
 
 
+def test_one_aggregate_a_pass(spark):
+    """A pass tries all lengths of the step in one aggregate, so a fit takes few jobs."""
+    frame = models.recalls_frame(role_tables(spark, SMALL))
+    spark.sparkContext.setJobGroup("fit", "jobs of the fit")
+    try:
+        models.fit_logistic("recalls", frame, models.RECALL_FEATURES)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("fit")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 25
+
+
 def scored(spark, pairs):
     return spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "LABEL double, PREDICTION double")
 
