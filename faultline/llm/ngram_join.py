@@ -167,17 +167,11 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[list[d
         yield held
 
 
-def _distinct(rows: list[dict]) -> list[dict]:
-    """One row per class: a repeated document brings its class more than once."""
-    return list({(r["k1"], r["k2"]): r for r in rows}.values())
-
-
 def _within(threshold: float):
     """Small components: each class's label and the copies linked to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ["comp"]):
-            rows = _distinct(rows)
             sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
             links = _linked(sets, sets, threshold)
             np.fill_diagonal(links, False)
@@ -204,8 +198,8 @@ def _across(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ["slot", "x", "y"]):
-            left = _distinct([r for r in rows if r["own"] == r["x"]])
-            right = left if rows[0]["x"] == rows[0]["y"] else _distinct([r for r in rows if r["own"] == r["y"]])
+            left = [r for r in rows if r["own"] == r["x"]]
+            right = left if rows[0]["x"] == rows[0]["y"] else [r for r in rows if r["own"] == r["y"]]
             if not left or not right:
                 continue
             links = _linked(*[[np.frombuffer(r["grams"], np.uint64) for r in side] for side in (left, right)], threshold)
@@ -262,7 +256,10 @@ def ngram_join(
     signed = docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
     sign = _sign(words, bands, rows)
     seen = written(signed.mapInArrow(_with_key(sign), f"{_SIGNED}, text_key long"), "signed")
-    classes = written(seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")), "classes")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "bands"))
+    classes = seen.groupBy("k1", "k2").agg(lead.alias("lead"), F.count(F.lit(1)).alias("copies"))
+    key = F.col("lead.text_key").alias("key")
+    classes = written(classes.select("k1", "k2", F.col("lead.doc_id").alias("first_doc"), key, "lead.bands", "copies"), "classes")
 
     slots = seen.select("k1", F.explode("bands").alias("slot")).distinct()
     buckets = slots.groupBy("slot").agg(F.min("k1").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -271,10 +268,9 @@ def ngram_join(
     comps = components(stars).select(F.col("node").alias("k1"), F.col("label").alias("comp"))
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     wanted = classes.join(comps, "k1").join(sizes, "comp")
-    once = seen.select("doc_id", "k1", "k2", "bands", F.col("text_key").alias("key"))
-    wanted = once.join(wanted, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).drop("doc_id")
     texts = docs.withColumn("text_key", F.xxhash64("text")).withColumnRenamed("doc_id", "id")
     found = wanted.join(texts, F.col("id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("key")))
+    found = found.dropDuplicates(["k1", "k2"])  # a row that repeats brings its text more than once
     kept = ["k1", "k2", "first_doc", "copies", "comp", "members", "bands"]
     schema = "k1 long, k2 long, first_doc long, copies long, comp long, members long, bands array<long>, grams binary"
     sets = written(found.select(*kept, "text").mapInArrow(_gather(words), schema), "sets")

@@ -70,6 +70,28 @@ def test_one_of_each_group_stays(spark):
     assert sorted(i for i in ids if i is not None) == sorted({r.class_id for r in found.collect() if r.class_id is not None})
 
 
+@pytest.mark.parametrize("block", [1, 256])
+def test_a_class_of_repeated_rows_is_read_once(spark, monkeypatch, block):
+    """A thousand rows of one id and text, as many without id, and a near copy: one gram set for each class."""
+    words = [f"word{i}" for i in range(60)]
+    near, other = [*words[:-1], "last"], [f"other{i}" for i in range(60)]
+    rows = [(7, " ".join(words))] * 1000 + [(None, " ".join(near))] * 1000
+    rows += [(3, " ".join(["first", *words[1:]])), (4, " ".join(other)), (5, "  ".join(words))]
+    seen, write = {}, ngram_join.written
+
+    def counted(df, name):
+        seen[name] = write(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
+    got = {tuple(r) for r in found.select("doc_id", "rep_id", "class_id", "n_links").collect()}
+    # 56 grams each; a changed end costs one gram, two changed ends share 54 of 58
+    assert got == {(7, 5, 3, 2001), (5, 5, 3, 2001), (None, None, 3, 2001), (3, 3, 3, 2001), (4, 4, 4, 0)}
+    assert seen["sets"].count() == 3
+    assert found.count() == len(rows)
+
+
 def test_no_documents(spark):
     none = awkward(spark).where("false")
     assert ngram_join.ngram_join(none).collect() == []
