@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.numbers import digits_year, flag, safe_ratio, try_year
 from faultline.functions.taxonomy import NO_BRAND, NO_MAKE, component_group, is_yes, recall_type_name, risk_tier
@@ -17,7 +17,7 @@ from faultline.functions.text import norm_make, norm_text
 from faultline.operators.grouping import dedupe_measure, merged_label, subtotal_label
 from faultline.operators.linking import complaints_to_recalls, complaints_with_ratings
 from faultline.operators.ordered import HOT_ROWS, key_sum, moving_average, ordered_features, previous, running_sum
-from faultline.operators.ranking import sort_by, sorted_rows, top_keys, topk, value_ranks, with_rank
+from faultline.operators.ranking import first_per_key, sort_by, sorted_rows, top_keys, topk, value_ranks, with_rank
 from faultline.operators.staging import BROADCAST_ROWS, keep_existing, lookup, stage
 from faultline.sources.tables import Tables
 
@@ -227,82 +227,74 @@ def q07(t: Tables, k: int = 20) -> DataFrame:
     return topk(grouped, k, "-INVESTIGATION_COUNT", "MAKE", "MODEL", "COMPONENT")
 
 
-def _nulls_last_struct(names: Sequence[str]) -> Column:
-    """Struct that compares like an ascending sort on the names with NULLs last."""
-    fields = [f for n in names for f in (F.col(n).isNull().alias(f"{n}_missing"), F.col(n).alias(n))]
-    return F.struct(*fields)
+def _recall_rest(t: Tables) -> list[str]:
+    return [*(["SRC_LINE"] if "SRC_LINE" in t.recalls.columns else []), "POTAFF", "COMPNAME", "DO_NOT_DRIVE", "PARK_OUTSIDE"]
 
 
 def campaign_make_rows(t: Tables) -> DataFrame:
-    """One row per campaign and make: its first row by model, and whether that row could lead the campaign.
+    """The row that each campaign and make keeps: its first by model.
 
-    A row leads if it comes first in its campaign by make and source order. The kept row is
-    the first by model, so it may be another one. Both are minima of sort structs, which
-    Spark aggregates by sorting and combines map-side, so a hot campaign leaves each map task as one row per make.
+    Spark prunes to one row per campaign, make and map task before the shuffle, so a hot campaign
+    leaves each map task as one row per make.
     """
-    rest = [*(["SRC_LINE"] if "SRC_LINE" in t.recalls.columns else [])]
-    rest += ["POTAFF", "COMPNAME", "DO_NOT_DRIVE", "PARK_OUTSIDE"]
-    pairs = t.recalls.groupBy("CAMPNO", "MAKETXT").agg(
-        F.min(_nulls_last_struct(["MODELTXT", *rest])).alias("kept"),
-        F.min(_nulls_last_struct([*rest, "MODELTXT"])).alias("lead"),
-        F.max("POTAFF").alias("LARGEST"),
-    )
-    same_row = F.lit(True)
-    for name in ["MODELTXT", *rest]:
-        same_row = same_row & F.col(f"kept.{name}").eqNullSafe(F.col(f"lead.{name}"))
-    return pairs.select(
-        "CAMPNO",
-        "MAKETXT",
-        *[F.col(f"kept.{n}").alias(n) for n in ("POTAFF", "COMPNAME", "DO_NOT_DRIVE", "PARK_OUTSIDE")],
-        same_row.alias("LEADS"),
-        "LARGEST",
-    )
+    rest = _recall_rest(t)
+    rows = t.recalls.select("CAMPNO", "MAKETXT", "MODELTXT", *rest)
+    return first_per_key(rows, ["CAMPNO", "MAKETXT"], sort_by("MODELTXT", *rest))
 
 
-def _recall_leaders(pairs: DataFrame, credit: Column, k: int) -> DataFrame:
-    """Recall statistics per make; each campaign gives its credit to its first make alone.
+def campaign_first_rows(t: Tables) -> DataFrame:
+    """The first row of each campaign by make and source order; it may not be the one that its make keeps."""
+    rest = _recall_rest(t)
+    rows = t.recalls.select("CAMPNO", "MAKETXT", "MODELTXT", *rest)
+    return first_per_key(rows, ["CAMPNO"], sort_by("MAKETXT", *rest, "MODELTXT"))
 
-    ``credit`` aggregates the rows of a campaign; rows of its further makes add 0.
-    """
-    credits = (
-        pairs.groupBy("CAMPNO")
-        .agg(F.min(_nulls_last_struct(["MAKETXT"])).alias("first"), credit.alias("credit"))
-        .groupBy(F.col("first.MAKETXT").alias("CREDITED_MAKE"))
-        .agg(F.sum("credit").alias("credits"), _rows().alias("credited_rows"))
-    )
-    per_make = pairs.groupBy(F.col("MAKETXT").alias("MAKE")).agg(
+
+def _recall_counts() -> list[Column]:
+    return [
         F.count("CAMPNO").alias("TOTAL_RECALLS"),
         F.countDistinct("COMPNAME").alias("COMPONENTS_RECALLED"),
         _yes("DO_NOT_DRIVE").alias("DO_NOT_DRIVE_RECALLS"),
         _yes("PARK_OUTSIDE").alias("PARK_OUTSIDE_RECALLS"),
-        _rows().alias("all_rows"),
-    )
-    joined = per_make.join(credits, F.col("MAKE").eqNullSafe(F.col("CREDITED_MAKE")), "left")
-    adds_zero = F.col("all_rows") > F.coalesce("credited_rows", F.lit(0))
-    result = joined.select(
-        "MAKE",
-        "TOTAL_RECALLS",
-        F.when(adds_zero, F.coalesce("credits", F.lit(0))).otherwise(F.col("credits")).alias("TOTAL_VEHICLES_AFFECTED"),
-        "COMPONENTS_RECALLED",
-        "DO_NOT_DRIVE_RECALLS",
-        "PARK_OUTSIDE_RECALLS",
+    ]
+
+
+def _recall_leaders(per_make: DataFrame, k: int) -> DataFrame:
+    shown = per_make.select(
+        "MAKE", "TOTAL_RECALLS", "TOTAL_VEHICLES_AFFECTED", "COMPONENTS_RECALLED", "DO_NOT_DRIVE_RECALLS", "PARK_OUTSIDE_RECALLS"
     )
-    return topk(result, k, "-TOTAL_VEHICLES_AFFECTED", "MAKE")
+    return topk(shown, k, "-TOTAL_VEHICLES_AFFECTED", "MAKE")
 
 
 def q08(t: Tables, k: int = 20) -> DataFrame:
     """Makes by vehicles recalled, a campaign counted only where its first row survives per make.
 
-    Campaigns whose first row is not the one kept for its make count for nobody.
+    Campaigns whose first row is not the one kept for its make count for nobody. Kept and first rows meet in one
+    grouping by all of their columns, so neither side is staged or joined.
     """
-    of_row = F.when(F.col("LEADS"), F.col("POTAFF")).otherwise(0).alias("credit")
-    of_first_make = F.min(F.struct(F.col("MAKETXT").isNull(), "MAKETXT", of_row)).getField("credit")
-    return _recall_leaders(stage(campaign_make_rows(t)), of_first_make, k)
+    kept = campaign_make_rows(t).withColumns({"kept": F.lit(1), "leads": F.lit(0)})
+    both = kept.unionByName(campaign_first_rows(t).withColumns({"kept": F.lit(0), "leads": F.lit(1)}))
+    names = [n for n in both.columns if n not in ("kept", "leads")]
+    rows = both.groupBy(*names).agg(F.max("kept").alias("kept"), F.max("leads").alias("leads")).filter("kept = 1")
+    credit = F.sum(F.when(F.col("leads") == 1, F.col("POTAFF")).otherwise(0)).alias("TOTAL_VEHICLES_AFFECTED")
+    return _recall_leaders(rows.groupBy(F.col("MAKETXT").alias("MAKE")).agg(credit, *_recall_counts()), k)
 
 
 def q08_dedup(t: Tables, k: int = 20) -> DataFrame:
-    """q08 without the loss: each campaign's vehicles are credited once, to its first make."""
-    return _recall_leaders(stage(campaign_make_rows(t)), F.max("LARGEST"), k)
+    """q08 without the loss: each campaign's vehicles are credited once, to its first make.
+
+    The window over a campaign sees one row per make of it.
+    """
+    per_make = campaign_make_rows(t).groupBy(F.col("MAKETXT").alias("MAKE")).agg(*_recall_counts())
+    campaign = Window.partitionBy("CAMPNO")
+    largest = t.recalls.groupBy("CAMPNO", "MAKETXT").agg(F.max("POTAFF").alias("LARGEST"))
+    placed = largest.select(
+        F.col("MAKETXT").alias("CREDITED_MAKE"),
+        F.row_number().over(campaign.orderBy(*sort_by("MAKETXT"))).alias("place"),
+        F.max("LARGEST").over(campaign).alias("vehicles"),
+    )
+    credit = F.sum(F.when(F.col("place") == 1, F.col("vehicles")).otherwise(0)).alias("TOTAL_VEHICLES_AFFECTED")
+    credits = placed.groupBy("CREDITED_MAKE").agg(credit)
+    return _recall_leaders(per_make.join(credits, F.col("MAKE").eqNullSafe(F.col("CREDITED_MAKE"))), k)
 
 
 def q09(t: Tables, makes: Sequence[str] = CUBE_MAKES) -> DataFrame:
