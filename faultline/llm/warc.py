@@ -7,14 +7,16 @@ largest id is stored; the others are revisits of it.
 
 Reading: records are taken from the archives by their content lengths. Only segments are shuffled, by the
 identifier of their origin, and joined in order of their numbers, one record at a time; whole records stay where
-they are. The total length is verified before the chunked framing is decoded.
+they are. The total length is verified before the chunked framing is decoded. A damaged stretch of an archive (a cut
+record or gzip member, a length that does not lead to the next record, a number that is none) gives one row
+of type ``damaged``, and reading goes on at the next record header or gzip member.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,10 +27,15 @@ from faultline.operators.shared import new_path, written
 
 SEGMENT = 64 << 10  # bytes of a record's block
 CHUNK = 8 << 10  # bytes of a transfer chunk
-RECORDS = 8192  # records of an archive file: with SEGMENT, a bound on its size
+BUNDLE = 512 << 10  # bytes of records that are written together, and one record more
+BUNDLES = 96  # of an archive file: with BUNDLE and SEGMENT, a bound on its bytes
 LEAST = 0  # bytes from which equal payloads become revisits
 DATE = "2000-01-01T00:00:00Z"
 _BATCH = 4 << 20
+_PIECE = 16 << 10  # compressed bytes at a time
+_BETWEEN = b"\r\n\r\n"
+_MEMBER = re.compile(rb"\x1f\x8b\x08")
+_HEADER = re.compile(rb"WARC/1\.[0-9]\r?\n")
 
 RECORD = (
     "record_id string, row string, type string, origin string, segment int, total long, uri string, digest string, "
@@ -36,6 +43,10 @@ RECORD = (
 )
 
 
+_NAMES = [f.split()[0] for f in RECORD.split(", ")]
+DAMAGED = "damaged"
+
+
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -110,11 +121,11 @@ def _page_records(segment: int):
                 for record in records(*row):
                     held.append(record)
                     size += len(record)
-                    if size > _BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
+                    if size > BUNDLE:
+                        yield pa.RecordBatch.from_arrays([pa.array([_BETWEEN.join(held)], pa.binary())], ["records"])
                         held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
+            yield pa.RecordBatch.from_arrays([pa.array([_BETWEEN.join(held)], pa.binary())], ["records"])
 
     return run
 
@@ -140,75 +151,173 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
     again = written(again.select(_place("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to").distinct(), "revisits")
     rows = rows.withColumns({"_id": _place("page_id"), "_sha": F.sha2("html", 256), "row": F.monotonically_increasing_id().cast("string")})
     records = rows.join(again, ["_id", "_sha"], "left").select("page_id", "url", "html", "refers_to", "row")
-    records = records.mapInArrow(_page_records(segment), "record binary")
-    # A text line of raw bytes with this ending is a record with the line breaks that close it.
-    writer = records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS).text(path)
-
-
-def _inflated(raw: bytes) -> Iterator[bytes]:
-    """A file's bytes piece by piece; several gzip members follow each other."""
-    if raw[:2] != b"\x1f\x8b":
-        yield raw
-        return
-    while raw:
-        member, at = zlib.decompressobj(31), 0
-        while not member.eof and at < len(raw):
-            yield member.decompress(raw[at : at + (1 << 16)])
-            at += 1 << 16
-        left = len(member.unused_data)
-        raw = raw[min(at, len(raw)) - left :] if left else raw[at:]
+    bundles = records.mapInArrow(_page_records(segment), "records binary")
+    # A text line of raw bytes with this ending is a bundle of records with the line breaks that close the last one.
+    writer = bundles.select(F.col("records").cast("string")).write.option("lineSep", _BETWEEN.decode()).option("compression", "gzip")
+    writer.option("maxRecordsPerFile", BUNDLES).text(path)
 
 
-class _Stream(io.RawIOBase):
-    """Pieces as one readable file."""
+def _salvaged(member, data: bytes) -> Iterator[bytes]:
+    """What a gzip member still gives before the byte at which it breaks."""
+    while len(data) > 1:
+        half = data[: len(data) // 2]
+        before = member.copy()
+        try:
+            yield member.decompress(half)
+            data = data[len(half) :]
+        except zlib.error:
+            member, data = before, half
 
-    def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.rest = pieces, b""
 
-    def readable(self) -> bool:
+def _inflated(raw) -> Iterator[bytes | None]:
+    """A file's bytes piece by piece; several gzip members follow each other. None stands where one breaks off."""
+    if bytes(raw[:2]) != b"\x1f\x8b":
+        yield from (bytes(raw[at : at + _BATCH]) for at in range(0, len(raw), _BATCH))
+        return
+    at = 0
+    while at < len(raw):
+        member, start, sound = zlib.decompressobj(31), at, True
+        while sound and not member.eof and at < len(raw):
+            data = bytes(raw[at : at + _PIECE])
+            at += len(data)
+            before = member.copy()
+            try:
+                yield member.decompress(data)
+            except zlib.error:
+                yield from _salvaged(before, data)
+                sound = False
+        if sound and member.eof:
+            at -= len(member.unused_data)
+            continue
+        yield None
+        following = _MEMBER.search(raw, start + 1)
+        at = following.start() if following else len(raw)
+
+
+class _Reader:
+    """Pieces as bytes to look at before they are taken; a None among the pieces ends what can be seen until ``go_on``."""
+
+    def __init__(self, pieces: Iterator[bytes | None]):
+        self.pieces, self.held, self.cut = iter(pieces), bytearray(), False
+
+    def more(self) -> bool:
+        if self.cut:
+            return False
+        piece = next(self.pieces, b"")
+        while piece == b"":
+            piece = next(self.pieces, False)
+        if piece is False:
+            return False
+        if piece is None:
+            self.cut = True
+            return False
+        self.held += piece
         return True
 
-    def readinto(self, buffer) -> int:
-        while not self.rest:
-            piece = next(self.pieces, None)
-            if piece is None:
-                return 0
-            self.rest = piece
-        n = min(len(buffer), len(self.rest))
-        buffer[:n], self.rest = self.rest[:n], self.rest[n:]
-        return n
-
+    def sees(self, n: int) -> bool:
+        while len(self.held) < n:
+            if not self.more():
+                return False
+        return True
 
-def _parse(file) -> Iterator[dict]:
-    """The records of an archive, by their content lengths. What is malformed ends the file."""
+    def go_on(self) -> None:
+        self.held.clear()
+        self.cut = False
+
+    def line(self) -> bytes | None:
+        """The next line with its end, None if the end is not there."""
+        looked = 0
+        while (end := self.held.find(b"\n", looked)) < 0:
+            looked = len(self.held)
+            if not self.more():
+                return None
+        found = bytes(self.held[: end + 1])
+        del self.held[: end + 1]
+        return found
+
+    def skip_breaks(self) -> None:
+        while self.sees(1) and self.held[0] in b"\r\n":
+            del self.held[0]
+
+    def to_header(self) -> None:
+        """On to the next record header, or as far as can be seen."""
+        while not (found := _HEADER.search(self.held)):
+            del self.held[:-10]  # a header's first line may have begun
+            if not self.more():
+                self.held.clear()
+                return
+        end = found.start()
+        del found  # it holds the buffer
+        del self.held[:end]
+
+
+def _number(text: str | None, digits: int) -> int | None:
+    return int(text) if text is not None and re.fullmatch(f"[0-9]{{1,{digits}}}", text) else None
+
+
+def _record_at(reader: _Reader) -> dict | None:
+    """The record that starts here, taken from the reader; None if it is damaged, and then taken in part."""
+    if not reader.sees(5) or not reader.held.startswith(b"WARC/") or reader.line() is None:
+        return None
+    fields = {}
     while True:
-        line = file.readline()
-        while line in (b"\r\n", b"\n"):
-            line = file.readline()
-        if not line.startswith(b"WARC/"):
-            return
-        fields = {}
-        while (line := file.readline().decode(errors="replace").rstrip("\r\n")) != "":
-            name, _, value = line.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        length = int(fields.get("content-length", 0))
-        block = file.read(length)
-        if len(block) < length:
+        if reader.sees(7) and reader.held.startswith(b"WARC/1."):
+            return None  # the header breaks off and another record follows
+        line = reader.line()
+        if line is None:
+            return None
+        text = line.decode(errors="replace").rstrip("\r\n")
+        if not text:
+            break
+        name, _, value = text.partition(":")
+        fields[name.strip().lower()] = value.strip()
+    length = _number(fields.get("content-length", "0"), 18)
+    if length is None or (not reader.sees(length + 64) and len(reader.held) < length):
+        return None
+    after = bytes(reader.held[length : length + 64])
+    rest = after.lstrip(b"\r\n")
+    if rest and not after.startswith(_BETWEEN) and not rest.startswith(b"WARC/"):
+        return None  # the length does not lead to the record's end
+    block = bytes(memoryview(reader.held)[:length])
+    del reader.held[:length]
+    given = [fields.get("warc-segment-number"), fields.get("warc-segment-total-length")]
+    number, total = _number(given[0], 9), _number(given[1], 18)
+    if any(text is not None and n is None for text, n in zip(given, (number, total), strict=True)):
+        return None
+    return {
+        "record_id": fields.get("warc-record-id"),
+        "row": fields.get("warc-page-row"),
+        "type": fields.get("warc-type"),
+        "origin": fields.get("warc-segment-origin-id") or (fields.get("warc-record-id") if number is not None else None),
+        "segment": number,
+        "total": total,
+        "uri": fields.get("warc-target-uri"),
+        "digest": (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
+        "refers_to": fields.get("warc-refers-to"),
+        "block": block,
+    }
+
+
+def _parse(pieces: Iterator[bytes | None]) -> Iterator[dict]:
+    """The sound records of an archive, by their content lengths, and one row of type ``damaged`` for each stretch between
+    them that is none. A record that a damaged stretch quotes counts as one."""
+    reader, hurt = _Reader(pieces), False
+    while True:
+        reader.skip_breaks()
+        over = not reader.held
+        if over and not reader.cut:
             return
-        number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
-        yield {
-            "record_id": fields.get("warc-record-id"),
-            "row": fields.get("warc-page-row"),
-            "type": fields.get("warc-type"),
-            "origin": fields.get("warc-segment-origin-id") or (fields.get("warc-record-id") if number else None),
-            "segment": int(number) if number else None,
-            "total": int(total) if total else None,
-            "uri": fields.get("warc-target-uri"),
-            "digest": (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
-            "refers_to": fields.get("warc-refers-to"),
-            "block": block,
-        }
+        record = None if over else _record_at(reader)
+        if record is None:
+            if not hurt:
+                yield dict.fromkeys(_NAMES) | {"type": DAMAGED}
+            if not over:
+                reader.to_header()
+            if not reader.held and reader.cut:
+                reader.go_on()
+        else:
+            yield record
+        hurt = record is None
 
 
 def _batched(rows: Iterator[dict], schema: pa.Schema, sized: str) -> Iterator[pa.RecordBatch]:
@@ -231,13 +340,14 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives in a folder, continuation records as they are."""
+    """The records of all archives in a folder, continuation records as they are, and a row of type ``damaged`` per
+    damaged stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
                 for raw in batch.column("content"):
-                    yield from _parse(io.BufferedReader(_Stream(_inflated(raw.as_py())), 1 << 16))
+                    yield from _parse(_inflated(memoryview(raw.as_buffer())))
 
         yield from _batched(rows(), _arrow(RECORD), "block")
 
@@ -249,7 +359,8 @@ def reassemble(records: DataFrame) -> DataFrame:
     """One row per whole record: ``records`` with segments joined, and ``complete``.
 
     Segments are grouped by their origin and ordered by number; a number that comes again is ignored.
-    ``complete`` is false if a number is missing, the total length is not stated, or the lengths do not add up to it.
+    ``complete`` is false if a number is missing, the total length is not stated, or the lengths do not add up to it, and
+    for damaged stretches.
     """
     schema = RECORD + ", complete boolean"
 
@@ -269,7 +380,7 @@ def reassemble(records: DataFrame) -> DataFrame:
         yield from _batched(rows(), _arrow(schema), "block")
 
     parts = records.where("segment is not null").repartition("origin", "row").sortWithinPartitions("origin", "row", "segment")
-    whole = records.where("segment is null").withColumn("complete", F.lit(True))
+    whole = records.where("segment is null").withColumn("complete", ~F.col("type").eqNullSafe(DAMAGED))
     return whole.unionByName(parts.mapInArrow(run, schema))
 
 

@@ -1,6 +1,7 @@
 """Search, archives, chat and the pipeline."""
 
-import io
+import gzip
+import random
 from collections import Counter
 
 import numpy as np
@@ -108,7 +109,62 @@ def test_framing():
         assert warc.dechunked(warc.chunked(body)) == body
     assert warc.dechunked(b"5;ext=1\r\nhello\r\n0\r\nTrailer: x\r\n\r\n") == b"hello"
     assert warc.dechunked(b"5\r\nhel") is None and warc.dechunked(b"zz\r\n") is None
-    assert list(warc._parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))) == []
+
+
+def stored(name, body, length=None, *extra):
+    length = len(body) if length is None else length
+    head = [b"WARC/1.1", b"WARC-Type: response", b"WARC-Record-ID: " + name, *extra, b"Content-Length: %s" % str(length).encode()]
+    return b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+A, B, C = (stored(n, n * 500) for n in (b"a", b"b", b"c"))
+QUOTED = stored(b"q", b"x\r\n\r\nWARC/1.1 quoted")
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        (A + B + QUOTED + C, "a b q c"),
+        (b"", ""),
+        (A + b"\r\n\r\n" + B.rstrip(), "a b"),
+        (A + B[:-200] + C, "a - c"),  # a cut block
+        (A + B[:40] + b"\r\n" + C, "a - c"),  # a cut header
+        (A + stored(b"b", b"long", 9) + C, "a - c"),
+        (A + stored(b"b", b"long", 2) + C, "a - c"),
+        (A + stored(b"b", b"long", 10**17) + C, "a - c"),
+        (A + stored(b"b", b"long", "four") + C, "a - c"),
+        (A + stored(b"b", b"long", "4", b"WARC-Segment-Number: one") + C, "a - c"),
+        (A + stored(b"b", b"long", "4", b"WARC-Segment-Number: 1", b"WARC-Segment-Total-Length: -1") + C, "a - c"),
+        (A + b"garbage\nWARC/ no\n" + B + C[:90], "a - b -"),
+        (C[:90], "-"),
+        (b"\0" * 100, "-"),
+        (gzip.compress(A) + gzip.compress(B) + gzip.compress(C), "a b c"),
+        (gzip.compress(A) + gzip.compress(B)[:-30] + gzip.compress(C), "a - c"),
+        (gzip.compress(A) + gzip.compress(B) + gzip.compress(C)[:20], "a b -"),
+        (gzip.compress(A)[:20] + gzip.compress(B)[:20] + gzip.compress(C), "- c"),
+    ],
+)
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_reading_goes_on_after_damage(raw, want, size):
+    pieces = (p if p is None else p[i : i + size] for p in warc._inflated(memoryview(raw)) for i in range(0, len(p or b"x"), size))
+    found = list(warc._parse(pieces))
+    assert " ".join("-" if r["type"] == warc.DAMAGED else r["record_id"] for r in found) == want
+    assert all(r["block"] == r["record_id"].encode() * 500 for r in found if r["record_id"] in ("a", "b", "c"))
+
+
+def test_a_broken_byte_costs_what_follows_it_only(spark, tmp_path):
+    rng = random.Random(5)
+    records = [stored(b"r%d" % i, rng.randbytes(2000)) for i in range(60)]
+    first, second = gzip.compress(b"".join(records[:50]), 1), gzip.compress(b"".join(records[50:]), 1)
+    broken = bytearray(first)
+    broken[60_000:60_400] = b"\xff" * 400  # stored bytes at this level: shown by the checksum or the block only
+    (tmp_path / "x.warc.gz").write_bytes(bytes(first[: len(first) * 2 // 3]) + second)
+    (tmp_path / "y.warc.gz").write_bytes(bytes(broken) + second)
+    (tmp_path / "z.warc").write_bytes(records[0])
+    rows = warc.reassemble(warc.read_records(spark, str(tmp_path))).collect()
+    got = Counter(r.record_id for r in rows if r.complete)
+    assert all(got[f"r{i}"] >= 2 for i in (*range(20), *range(50, 60))) and got["r0"] == 3
+    assert sum(not r.complete for r in rows) >= 1 and all(r.type == warc.DAMAGED for r in rows if not r.complete)
 
 
 def test_events_fold_to_the_last_version(spark):
