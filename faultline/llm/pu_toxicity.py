@@ -7,8 +7,10 @@ without regard to labels are the unlabelled ones. With class prior p, the risk o
 
 where the last two terms estimate the risk on clean texts and may not fall below zero: when they would, that
 step climbs out of the over-fit instead. Features are the presence of words and of word beginnings, hashed, as far
-as they are significantly more frequent in confirmed toxic texts than in unlabelled ones. A few numpy classifiers are trained side by side, one task each, on disjoint bounded samples; the
-mean of their weights scores every whole text, slice by slice, wherever it lies.
+as they are significantly more frequent in confirmed toxic texts than in unlabelled ones, counted over the whole of both samples. A
+sign must stand in a few texts that are no near copies of each other, whatever the size of the samples, so a small
+group's own words count, too. A few numpy classifiers are trained side by side on the same signs, one task each, on
+disjoint parts of the bounded samples; the mean of their weights scores every whole text, slice by slice, wherever it lies.
 """
 
 from __future__ import annotations
@@ -22,17 +24,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.llm.words import coded, slices, split_words
+from faultline.llm.words import coded, hashed, mixed, ngrams, slices, split_words
 from faultline.operators.shared import written
 
-POSITIVES = 4_000  # confirmed toxic texts used for training, at most
-UNLABELLED = 16_000  # unlabelled texts used for training, at most
-CLASSIFIERS = 4  # at most; one for each PER_CLASSIFIER positives
+POSITIVES = 8_000  # confirmed toxic texts used for training, at most
+UNLABELLED = 24_000  # unlabelled texts used for training, at most
+CLASSIFIERS = 8  # at most; one for each PER_CLASSIFIER positives
 PER_CLASSIFIER = 1_000
-FEATURES = 20_000  # of a classifier, at most: the most significant ones
+FEATURES = 20_000  # at most: the most significant ones
 LEAST_Z = 5.0  # standard errors between a feature's shares of toxic and of unlabelled texts
-LEAST_TEXTS = 3  # toxic texts that hold it, or one in RARE if that is more: near copies share their rare words
-RARE = 50
+LEAST_TEXTS = 5  # toxic texts that hold it, near copies counted once: they share their rare words
+BANDS, ROWS = 8, 3  # minima of five-word shingles; texts of similarity 0.8 share a band with probability 0.997
 LEAST_LIFT = 3.0  # times a feature's share of unlabelled texts; half of what a sure sign reaches if that is less
 SLICE_BYTES = 4 << 20
 BEGINNING = 5  # characters of a word's beginning
@@ -87,19 +89,60 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def _significant(p_found: np.ndarray, u_found: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
-    """Slots that toxic texts hold significantly more often than unlabelled ones, in ascending order."""
-    slots, in_p = np.unique(p_found, return_counts=True)
-    others, counts = np.unique(u_found, return_counts=True)
-    place = np.searchsorted(others, slots)
-    place[place == len(others)] = 0
-    in_u = np.where(others[place] == slots, counts[place], 0) if len(others) else np.zeros_like(in_p)
+def _z(in_p: np.ndarray, in_u: np.ndarray, groups: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """How many standard errors more often toxic texts hold a slot than unlabelled ones; 0 if that is no sign.
+
+    ``groups`` counts the toxic texts that hold it, near copies once.
+    """
     share = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share) * (1 / n_p + 1 / n_u), 1e-12))
     weak = in_p / n_p < min(LEAST_LIFT, 0.5 / prior) * in_u / n_u
-    z[weak | (z < LEAST_Z) | (in_p < max(LEAST_TEXTS, n_p // RARE))] = 0
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    return np.sort(slots[best[z[best] > 0]])
+    return np.where(weak | (z < LEAST_Z) | (groups < LEAST_TEXTS), 0.0, z)
+
+
+def _counted(positive: pa.Array, unlabelled: pa.Array, classes: np.ndarray) -> list[np.ndarray]:
+    """Slots in ascending order, and the toxic texts, unlabelled texts and classes of toxic texts that hold each."""
+    p_starts, p_found = _all_features(positive)
+    in_u, u_counts = np.unique(_all_features(unlabelled)[1], return_counts=True)
+    in_p, p_counts = np.unique(p_found, return_counts=True)
+    held = np.repeat(np.unique(classes, return_inverse=True)[1], np.diff(p_starts))
+    in_class, class_counts = np.unique(np.unique((p_found.astype(np.int64) << 31) | held) >> 31, return_counts=True)
+    slots = np.union1d(in_p, in_u).astype(np.int64)
+    out = [slots]
+    for own, counts in ((in_p, p_counts), (in_u, u_counts), (in_class, class_counts)):
+        column = np.zeros(len(slots), np.int64)
+        column[np.searchsorted(slots, own)] = counts
+        out.append(column)
+    return out
+
+
+def _bands(texts: pa.Array) -> np.ndarray:
+    """For each text, ``BANDS`` hashes of ``ROWS`` minima over its five-word shingles each."""
+    starts, words = split_words(texts)
+    begins, grams = ngrams(starts, hashed(words), 5)
+    out = np.zeros((len(texts), BANDS), np.uint64)
+    some = np.flatnonzero(np.diff(begins))
+    if len(some):
+        for band in range(BANDS):
+            for row in range(ROWS):
+                seed = np.uint64((band * ROWS + row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+                least = np.minimum.reduceat(mixed(grams ^ seed), begins[:-1][some])
+                out[some, band] = mixed(out[some, band] ^ least)
+    return out
+
+
+def _classes(bands: np.ndarray) -> np.ndarray:
+    """The smallest index among texts that are linked by equal bands."""
+    label = np.arange(len(bands))
+    keys = [np.unique(bands[:, k], return_inverse=True)[1] for k in range(bands.shape[1])]
+    while True:
+        before = label.copy()
+        for key in keys:
+            least = np.full(len(bands), len(bands))
+            np.minimum.at(least, key, label)
+            label = label[least[key]]
+        if (label == before).all():
+            return label
 
 
 def _placed(slots: np.ndarray, starts: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,31 +163,42 @@ def _all_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(found)
 
 
-def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, rounds: int = ROUNDS) -> Model:
-    """One classifier by Adam on the non-negative risk with logistic loss."""
-    p_starts, p_found = _all_features(positive)
-    u_starts, u_found = _all_features(unlabelled)
-    n_p, n_u = len(positive), len(unlabelled)
-    slots = _significant(p_found, u_found, n_p, n_u, prior)
+Placed = tuple[np.ndarray, np.ndarray]
+
+
+def risk(weights: np.ndarray, bias: float, p: Placed, u: Placed, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk on toxic text, the unbounded estimate of that on clean text, and the slope of the step to take.
+
+    The slope ends in the bias. While the estimate is below zero it is that of its negative: the step climbs out.
+    """
+    on_p, on_u = (_sums(weights, *side) + bias for side in (p, u))
+    n_p, n_u = len(on_p), len(on_u)
+    toxic_risk = prior * np.logaddexp(0, -on_p).mean()
+    clean_risk = np.logaddexp(0, on_u).mean() - prior * np.logaddexp(0, on_p).mean()
+    # Slopes of the losses: called toxic, -sigmoid(-x); called clean, sigmoid(x).
+    g_u = _sigmoid(on_u) / n_u
+    g_p = -prior * _sigmoid(on_p) / n_p
+    if clean_risk < 0:
+        g_u, g_p = -g_u, -g_p
+    else:
+        g_p = g_p - prior * _sigmoid(-on_p) / n_p
+    slope = sum(np.bincount(found, np.repeat(g, np.diff(starts)), len(weights)) for g, (starts, found) in ((g_p, p), (g_u, u)))
+    return toxic_risk, clean_risk, np.append(slope, g_p.sum() + g_u.sum())
+
+
+def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, rounds: int = ROUNDS, slots: np.ndarray | None = None) -> Model:
+    """One classifier by Adam on the non-negative risk with logistic loss, on given signs or those of its own texts."""
+    if slots is None:
+        found, *counts = _counted(positive, unlabelled, np.arange(len(positive)))
+        z = _z(*counts, len(positive), len(unlabelled), prior)
+        best = np.argsort(-z, kind="stable")[:FEATURES]
+        slots = np.sort(found[best[z[best] > 0]])
     n = len(slots)
-    p_starts, p_found = _placed(slots, p_starts, p_found)
-    u_starts, u_found = _placed(slots, u_starts, u_found)
-    p_owner, u_owner = np.repeat(np.arange(n_p), np.diff(p_starts)), np.repeat(np.arange(n_u), np.diff(u_starts))
+    p, u = _placed(slots, *_all_features(positive)), _placed(slots, *_all_features(unlabelled))
     weights, bias = np.zeros(n), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, rounds + 1):
-        on_p = _sums(weights, p_starts, p_found) + bias
-        on_u = _sums(weights, u_starts, u_found) + bias
-        clean_risk = np.logaddexp(0, on_u).mean() - prior * np.logaddexp(0, on_p).mean()
-        # Slopes of the losses: called toxic, -sigmoid(-x); called clean, sigmoid(x).
-        g_u = _sigmoid(on_u) / n_u
-        g_p = -prior * _sigmoid(on_p) / n_p
-        if clean_risk < 0:
-            g_u, g_p = -g_u, -g_p
-        else:
-            g_p = g_p - prior * _sigmoid(-on_p) / n_p
-        slope = np.bincount(p_found, g_p[p_owner], n) + np.bincount(u_found, g_u[u_owner], n) + SHRINK * weights
-        slope = np.append(slope, g_p.sum() + g_u.sum())
+        slope = risk(weights, bias, p, u, prior)[2] + SHRINK * np.append(weights, 0)
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope * slope
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -155,7 +209,7 @@ def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, rounds: int = RO
 
 
 def mean(models: list[Model]) -> Model:
-    """The mean log-odds: a slot that a classifier lacks weighs nothing there."""
+    """The mean log-odds. ``train`` fits all of them on the same slots; a slot that one lacks weighs nothing there."""
     slots = np.unique(np.concatenate([m.slots for m in models]))
     weights = np.zeros(len(slots))
     for m in models:
@@ -205,25 +259,74 @@ def train(
     if not n_positive:
         return None
     parts = min(CLASSIFIERS, max(1, n_positive // PER_CLASSIFIER))
+    # One row per id, its smallest text: a repeated id weighs no more than another.
+    texts = rows.join(taken, "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    texts = written(texts.where("text is not null"), "sample")
+    classes = texts.where("positive").mapInArrow(_banded, "doc_id long, bands array<long>")
+    # One group of POSITIVES rows of BANDS numbers.
+    classes = classes.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_class_rows, "doc_id long, class long").withColumn("positive", F.lit(True))
+    texts = texts.join(classes, ["doc_id", "positive"], "left").withColumn("class", F.coalesce("class", "doc_id"))
+    # Near copies share a part, so classes of parts add up.
+    texts = written(texts.withColumn("part", F.pmod(F.xxhash64("class", F.lit(80)), F.lit(parts))), "parts")
+
+    def count(group: pa.Table) -> pa.Table:
+        toxic, own, rest = _sides(group)
+        columns = _counted(toxic, rest, own)
+        columns = [np.append(c, x) for c, x in zip(columns, (-1, len(toxic), len(rest), len(toxic)), strict=True)]  # slot -1: all texts
+        return pa.table(columns, ["slot", "in_p", "in_u", "classes"])
+
+    counts = texts.groupBy("part").applyInArrow(count, "slot long, in_p long, in_u long, classes long")
+    counts = written(counts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("in_p", "in_u", "classes")]), "signs")
+    total = counts.where("slot = -1").first()
+    if total is None or not total.in_p or not total.in_u:
+        return None
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            z = _z(*columns[1:], total.in_p, total.in_u, prior)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z)], ["slot", "z"])
+
+    signs = counts.where(f"slot >= 0 and classes >= {LEAST_TEXTS}").mapInArrow(measure, "slot long, z double")
+    best = signs.where("z > 0").orderBy(F.desc("z"), "slot").limit(FEATURES)
+    slots = np.sort(np.array([r.slot for r in best.select("slot").collect()], np.int64))
 
     def one(group: pa.Table) -> pa.Table:
-        sides = []
-        for side in (True, False):
-            own = group.filter(pc.equal(group.column("positive"), side)).column("text")
-            sides.append(pc.unique(own.combine_chunks()) if len(own) else pa.array([], pa.string()))  # copies are one example
-        schema = pa.schema([("bias", pa.float64()), ("slots", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])
-        if not len(sides[0]) or not len(sides[1]):
+        schema = pa.schema([("bias", pa.float64()), ("weights", pa.list_(pa.float64()))])
+        toxic, _, rest = _sides(group)
+        if not len(toxic) or not len(rest):
             return schema.empty_table()
-        model = fit(*sides, prior)
-        return pa.Table.from_pylist([{"bias": model.bias, "slots": model.slots.tolist(), "weights": model.weights.tolist()}], schema)
+        model = fit(toxic, rest, prior, slots=slots)
+        return pa.Table.from_pylist([{"bias": model.bias, "weights": model.weights.tolist()}], schema)
 
-    texts = rows.join(taken, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(80)), F.lit(parts)))
     # At most CLASSIFIERS rows of FEATURES numbers reach the driver.
-    found = texts.groupBy("part").applyInArrow(one, "bias double, slots array<long>, weights array<double>").collect()
-    models = [Model(np.array(r.slots, np.int64), np.array(r.weights), r.bias) for r in found]
+    found = texts.groupBy("part").applyInArrow(one, "bias double, weights array<double>").collect()
+    models = [Model(slots, np.array(r.weights, np.float64), r.bias) for r in found]
     return mean(models) if models else None
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text", 2 << 20):
+        bands = pa.array(_bands(part.column("text")).view(np.int64).tolist(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), bands], ["doc_id", "bands"])
+
+
+def _class_rows(group: pa.Table) -> pa.Table:
+    group = group.sort_by("doc_id").combine_chunks()
+    ids = group.column("doc_id").to_numpy()
+    bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+    return pa.table({"doc_id": ids, "class": ids[_classes(bands)]})
+
+
+def _sides(group: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Toxic texts, their classes, and unlabelled texts of a part; copies are one example."""
+    is_toxic = group.column("positive")
+    toxic, rest = group.filter(is_toxic), group.filter(pc.invert(is_toxic))
+    codes, distinct = coded(pa.array(toxic.column("text").to_pylist(), pa.string()))
+    own = toxic.column("class").to_numpy()[np.unique(codes, return_index=True)[1]]
+    return distinct, own, pc.unique(rest.column("text").combine_chunks()) if len(rest) else pa.array([], pa.string())
+
+
 def score(
     docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:

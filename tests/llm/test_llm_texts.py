@@ -110,6 +110,63 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_a_small_group_is_found_and_near_copies_are_no_signs(spark):
+    """One toxic text in a hundred is of a language of its own; forty near copies of one toxic text share a harmless word."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(9000):
+        toxic = i % 8 == 0
+        small = i % 800 < 16 if toxic else i % 20 == 1  # the language has clean texts, too
+        text = [rng.choice("uma duas tres quatro cinco".split()) + str(rng.randint(0, 90)) for _ in range(60)] if small else words(rng, 60).split()
+        if toxic:
+            text.insert(rng.randrange(60), "palavrao" if small else rng.choice(["vileword", "nastyword"]))
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    base = (words(rng, 80) + " harmless vileword").split()
+    for i in range(9000, 9040):
+        rows.append((i, " ".join([*base[: i % 70], "x", *base[i % 70 :]])))
+        labels.append((i, 1))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = pu_toxicity.train(docs, known)
+    starts, found = pu_toxicity.features(pa.array(["palavrao", "vileword", "harmless", "alpha1"]), model.slots)
+    scores = pu_toxicity._sigmoid(pu_toxicity._sums(model.weights, starts, found) + model.bias)
+    assert min(scores[:2]) >= 0.3 > max(scores[2:])
+
+
+def test_a_repeated_id_is_one_example(spark):
+    docs, labels, _ = toxic_table(spark, 200)
+    again = spark.range(3000).selectExpr("1L as doc_id", "concat('copy of row ', id) as text")
+    assert pu_toxicity.train(docs.where("doc_id <> 1").unionByName(again), labels) is not None
+    first = docs.where("doc_id = 8").select("doc_id", "text")
+    one, many = (pu_toxicity.train(docs.unionByName(first.crossJoin(spark.range(n)).drop("id")), labels) for n in (0, 500))
+    assert one.slots.tolist() == many.slots.tolist() and np.allclose(one.weights, many.weights)
+
+
+@pytest.mark.parametrize("bias", [-2.0, 0.0, 3.0, -9.0])
+def test_risk_and_slopes_equal_a_plain_loop(bias):
+    rng = np.random.default_rng(4)
+    toxic = [sorted(rng.choice(6, rng.integers(0, 5), replace=False)) for _ in range(9)]
+    rest = [sorted(rng.choice(6, rng.integers(0, 3), replace=False)) for _ in range(25)]
+    weights = rng.normal(size=6)
+
+    def placed(texts):
+        return np.cumsum([0, *map(len, texts)]), np.array([x for t in texts for x in t], np.int64)
+
+    def plain(w, b, prior=0.2):
+        f = [[b + sum(w[x] for x in t) for t in side] for side in (toxic, rest)]
+        called_toxic = [prior * np.log(1 + np.exp(-x)) / len(toxic) for x in f[0]]
+        clean = sum(np.log(1 + np.exp(x)) / len(rest) for x in f[1]) - sum(prior * np.log(1 + np.exp(x)) / len(toxic) for x in f[0])
+        return sum(called_toxic), clean
+
+    on_toxic, on_clean, slope = pu_toxicity.risk(weights, bias, placed(toxic), placed(rest), 0.2)
+    assert np.allclose((on_toxic, on_clean), plain(weights, bias))
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        (a, b), (c, d) = (plain(weights + s * step[:6], bias + s * step[6]) for s in (1, -1))
+        want = (a + b - c - d) / 2e-6 if on_clean >= 0 else (d - b) / 2e-6
+        assert abs(slope[k] - want) < 1e-6
+
+
 def test_toxicity_without_examples(spark):
     docs, labels, _ = toxic_table(spark, 40)
     assert pu_toxicity.train(docs, labels.where("toxic = 0")) is None
