@@ -111,7 +111,7 @@ def test_toxicity_on_held_out_documents(spark):
 
 
 def test_a_small_group_is_found_and_near_copies_are_no_signs(spark):
-    """One toxic text in a hundred is of a language of its own; forty near copies of one toxic text share a harmless word."""
+    """Two toxic texts in a hundred are of a small language; forty near copies of one toxic text share a harmless word."""
     rng = random.Random(11)
     rows, labels = [], []
     for i in range(9000):
