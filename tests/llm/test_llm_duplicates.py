@@ -243,3 +243,15 @@ def test_the_pipeline_drops_long_lines_of_two_changed_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.dedup_lines(spark, docs, "")
     assert {r.doc_id: r.text for r in kept.collect()} == {1: " ".join(w), 2: ""}
+
+
+def test_no_pair_of_long_lines_is_lost(spark):
+    """300 pairs of lines that differ in two words, so that every bit of the sketches differs in some of them."""
+    rows = []
+    for k in range(300):
+        w = [f"w{k}x{i}" for i in range(30)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:9], "new", *w[10:20], f"again{k}", *w[21:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grow = line_dedup.GROWING
+    found = line_dedup.duplicate_lines(docs, line_dedup.read_lines(docs, grow=grow), grow=grow)
+    assert {r.doc_id: r.n_near for r in found.collect()} == {d: d % 2 for d, _ in rows}
