@@ -1,6 +1,8 @@
 """N-gram join and line dedup against brute force."""
 
+import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from faultline.llm import line_dedup, ngram_join
 from faultline.llm.components import components
+from faultline.operators import shared
 from llm_tables import awkward, words
 
 
@@ -255,3 +258,65 @@ def test_no_pair_of_long_lines_is_lost(spark):
     grow = line_dedup.GROWING
     found = line_dedup.duplicate_lines(docs, line_dedup.read_lines(docs, grow=grow), grow=grow)
     assert {r.doc_id: r.n_near for r in found.collect()} == {d: d % 2 for d, _ in rows}
+
+
+def test_texts_are_read_for_close_lines_only(spark, monkeypatch):
+    """A hundred lines of one opening, two of which are two edits apart: no table holds the others' words."""
+    opening = "all of these lines begin with the same words"
+    rows = [(k, f"{opening} " + " ".join(f"own{k}x{i}" for i in range(20))) for k in range(100)]
+    rows.append((100, rows[7][1].replace("own7x3", "new").replace("own7x9", "again")))
+    held, write = [], line_dedup.written
+
+    def counted(df, name):
+        table = write(df, name)
+        held.extend([table.count()] if {"line", "words"} & set(table.columns) else [])
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grow = line_dedup.GROWING
+    found = line_dedup.duplicate_lines(docs, line_dedup.read_lines(docs, grow=grow), grow=grow)
+    assert {r.doc_id for r in found.collect() if r.n_near} == {100}
+    assert max(held) == 2
+
+
+def staged_tables(spark):
+    return set(os.listdir(shared.shared_folder(spark).removeprefix("file:")))
+
+
+def test_the_tables_of_line_dedup_go_but_one(spark):
+    docs = awkward(spark).select(*corpus_pipeline.COLUMNS)
+    shared.written(docs.limit(1), "first")
+    before = staged_tables(spark)
+    kept = corpus_pipeline.dedup_lines(spark, docs, "")
+    assert [x.split("-")[0] for x in staged_tables(spark) - before] == ["dropped"]
+    assert kept.count() == docs.count()
+
+
+def test_a_scope_removes_its_tables_after_a_failure(spark):
+    shared.written(spark.range(3), "first")
+    before = staged_tables(spark)
+    with pytest.raises(ValueError), shared.scratch() as keep:
+        kept = keep(spark.range(5), "kept")
+        with shared.scratch():
+            shared.written(spark.range(4), "inner")
+        shared.written(kept, "own")
+        raise ValueError
+    assert [x.split("-")[0] for x in staged_tables(spark) - before] == ["kept"]
+    assert kept.count() == 5
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    setting = spark.conf.get(shared._CLEANUP, None)
+    before = shuffles()
+    table = shared.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert table.count() == 7
+    assert spark.conf.get(shared._CLEANUP, None) == setting
