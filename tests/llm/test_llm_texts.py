@@ -77,6 +77,45 @@ def test_tokens_equal_the_reference_library(spark):
     assert byte_bpe.round_trip(awkward(spark), ranks_path()).count() == awkward(spark).count()
 
 
+def test_the_library_sees_each_piece_once_in_few_texts(monkeypatch):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks_path(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokenizer, table = byte_bpe.codec(ranks_path())
+    given: list[str] = []
+
+    class Counted:
+        def encode_batch_fast(self, some, **kind):
+            given.extend(some)
+            return tokenizer.encode_batch_fast(some, **kind)
+
+    monkeypatch.setattr(byte_bpe, "codec", lambda path: (Counted(), table))
+    rng = random.Random(4)
+    blanks = "\t\x0b\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000"
+    texts = ["".join(rng.choice("  ab1'!é漢“、" + blanks) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    texts += ["", " ", "漢字" * 500, " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(3000, 0, -1))]
+    encoder = byte_bpe._Encoder(ranks_path())
+    for at in (0, 200, 400, 400):  # the last slice again: its pieces behind a space are known
+        some, before = texts[at : at + (5 if at == 400 else 200)], len(given)
+        starts, ids = encoder(pa.array(["cut off", *some]).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [other.encode_ordinary(t) for t in some]
+    assert sum(map(len, given[before:])) < 1100  # first pieces only
+    assert sum(t.count("漢字" * 500) for t in given) == 2 and len(given) < 1000
+    assert sum(t.count(" w1500 ") for t in given) == 1
+
+    # A memory that is too small changes nothing.
+    monkeypatch.setattr(byte_bpe, "KNOWN_PIECES", 10)
+    encoder = byte_bpe._Encoder(ranks_path())
+    for some in (texts[:200], texts[200:], ["", "a"], ["a b"]):
+        starts, ids = encoder(pa.array(some))
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [other.encode_ordinary(t) for t in some]
+
+
 def test_ids_that_split_a_character(spark):
     ids = byte_bpe.codec(ranks_path())[0].encode("漢").ids
     table = byte_bpe.codec(ranks_path())[1]
