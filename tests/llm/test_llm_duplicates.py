@@ -5,12 +5,13 @@ import random
 import time
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultline.llm import line_dedup, ngram_join
+from faultline.llm import line_dedup, ngram_join, words as word_tools
 from faultline.llm.components import components
 from faultline.operators import shared
 from llm_tables import awkward, words
@@ -186,6 +187,32 @@ def test_lines_equal_brute_force(spark):
     assert kept == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in extra}
 
 
+def test_each_distinct_word_is_hashed_once(monkeypatch):
+    real, given = word_tools.xxhash, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda value, *seed: given.append(value) or getattr(real, name)(value, *seed)
+
+    monkeypatch.setattr(word_tools, "xxhash", Counted())
+    texts = ["not read", "der Tag kam spät\n\nder Tag\tkam  spät 漢字", "", None, "kam\nder Tag kam spät"]
+    columns = [pa.array(range(5)), pa.array(range(5)), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "text"]).slice(1)
+    [out] = line_dedup._read(())(iter([batch]))
+    assert sorted(given) == sorted(w.encode() for w in ("der", "Tag", "kam", "spät", "漢字"))
+    lines = [[(x["line"], x["h1"], x["h2"], x["n"]) for x in r] for r in out.column("lines").to_pylist()]
+    assert [[(x[0], x[3]) for x in r] for r in lines] == [[(0, 4), (2, 5)], [], [], [(0, 1), (1, 4)]]
+    assert lines[0][0][1:3] == lines[3][1][1:3]
+    hashes = {h for r in lines for x in r for h in x[1:3]}
+    assert len(hashes) == 6  # three different lines, two hashes each
+
+    given.clear()
+    columns = [*[pa.array([k, k]) for k in range(3)], pa.array(["a b c a", "a c"])]
+    assert next(line_dedup._variants(iter([pa.RecordBatch.from_arrays(columns, ["h1", "h2", "place", "line"])]))).num_rows == 8
+    assert sorted(given) == [b"a", b"b", b"c"]
+    assert [len(x) for x in word_tools.hashed_twice(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_a_text_may_lose_all_its_lines(spark):
     docs = spark.createDataFrame([(1, "same line"), (2, "same line"), (3, None)], "doc_id long, text string")
     assert sorted(map(tuple, line_dedup.drop_lines(docs).collect())) == [(1, "same line"), (2, ""), (3, None)]
